@@ -3,17 +3,25 @@
 The view is a lazy union with one branch per predicate. A filter on ``p`` reaches every branch as a
 comparison of two constants, so a pattern scan reads only the table columns of its own predicate.
 Entity keys are unique in their tables; only branches over order lines need a distinct, which is done
-on the short numeric keys before the terms are spelled out.
+on the short keys before the terms are spelled out.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.functions.terms import RDF_TYPE
+from tripleweave.functions.terms import RDF_TYPE, Pattern, full_pattern, is_var
+from tripleweave.operators.inference import CLASS_SUPERS, PREFIX
+
+
+class Branch(NamedTuple):
+    predicate: str
+    cls: str | None  # the one object of a class branch
+    rows: DataFrame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +36,18 @@ def text(column: str) -> Column:
     return F.concat(F.lit('"'), F.col(column), F.lit('"'))
 
 
-def _rows(df: DataFrame, s: Column, p: str, o: Column) -> DataFrame:
-    return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+def _branch(df: DataFrame, s: Column, p: str, o: Column | str) -> Branch:
+    cls = o if isinstance(o, str) else None
+    return Branch(
+        p,
+        cls,
+        df.select(
+            s.alias("s"), F.lit(p).alias("p"), (F.lit(cls) if cls else o).alias("o")
+        ),
+    )
 
 
-def _branches(spark: SparkSession, sf_dir: str, distinct: bool) -> list[DataFrame]:
+def _branches(spark: SparkSession, sf_dir: str, distinct: bool = True) -> list[Branch]:
     region, nation, customer, supplier, part, orders, lineitem = (
         table(spark, sf_dir, t)
         for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -50,53 +65,73 @@ def _branches(spark: SparkSession, sf_dir: str, distinct: bool) -> list[DataFram
         ("part", part, "p_partkey"),
         ("order", orders, "o_orderkey"),
     ]
-    typed = [
-        _rows(df, iri(kind, key), RDF_TYPE, F.lit(f"<{kind.capitalize()}>"))
-        for kind, df, key in entities
-    ]
-    named = [
-        _rows(df, iri(kind, key), "<name>", text(f"{key[0]}_name"))
-        for kind, df, key in entities
-        if kind != "order"
-    ]
+    of_nation = iri("nation", "n_nationkey")
+    of_customer = iri("customer", "c_custkey")
+    of_order = iri("order", "o_orderkey")
+    of_line = iri("order", "l_orderkey")
     return [
-        *typed,
-        *named,
-        _rows(customer, iri("customer", "c_custkey"), "<segment>", text("c_mktsegment")),
-        _rows(part, iri("part", "p_partkey"), "<brand>", text("p_brand")),
-        _rows(orders, iri("order", "o_orderkey"), "<status>", text("o_orderstatus")),
-        _rows(orders, iri("order", "o_orderkey"), "<priority>", text("o_orderpriority")),
-        _rows(
-            pairs("l_orderkey", "l_returnflag"),
-            iri("order", "l_orderkey"), "<shipFlag>", text("l_returnflag"),
+        *(
+            _branch(df, iri(kind, key), RDF_TYPE, f"<{kind.capitalize()}>")
+            for kind, df, key in entities
+        ),
+        *(
+            _branch(df, iri(kind, key), "<name>", text(f"{key[0]}_name"))
+            for kind, df, key in entities
+            if kind != "order"
         ),
-        _rows(nation, iri("nation", "n_nationkey"), "<inRegion>", iri("region", "n_regionkey")),
-        _rows(customer, iri("customer", "c_custkey"), "<fromNation>", iri("nation", "c_nationkey")),
-        _rows(supplier, iri("supplier", "s_suppkey"), "<basedIn>", iri("nation", "s_nationkey")),
-        _rows(orders, iri("order", "o_orderkey"), "<placedBy>", iri("customer", "o_custkey")),
-        _rows(
-            pairs("l_orderkey", "l_partkey"),
-            iri("order", "l_orderkey"), "<contains>", iri("part", "l_partkey"),
+        _branch(customer, of_customer, "<segment>", text("c_mktsegment")),
+        _branch(part, iri("part", "p_partkey"), "<brand>", text("p_brand")),
+        _branch(orders, of_order, "<status>", text("o_orderstatus")),
+        _branch(orders, of_order, "<priority>", text("o_orderpriority")),
+        _branch(pairs("l_orderkey", "l_returnflag"), of_line, "<shipFlag>", text("l_returnflag")),
+        _branch(nation, of_nation, "<inRegion>", iri("region", "n_regionkey")),
+        _branch(customer, of_customer, "<fromNation>", iri("nation", "c_nationkey")),
+        _branch(supplier, iri("supplier", "s_suppkey"), "<basedIn>", iri("nation", "s_nationkey")),
+        _branch(orders, of_order, "<placedBy>", iri("customer", "o_custkey")),
+        _branch(
+            pairs("l_orderkey", "l_partkey"), of_line, "<contains>", iri("part", "l_partkey")
         ),
-        _rows(
-            pairs("l_orderkey", "l_suppkey"),
-            iri("order", "l_orderkey"), "<suppliedBy>", iri("supplier", "l_suppkey"),
+        _branch(
+            pairs("l_orderkey", "l_suppkey"), of_line, "<suppliedBy>", iri("supplier", "l_suppkey")
         ),
-        _rows(
+        _branch(
             pairs("l_partkey", "l_suppkey"),
             iri("part", "l_partkey"), "<soldBy>", iri("supplier", "l_suppkey"),
         ),
     ]
 
 
+def _union(branches: list[Branch]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [b.rows for b in branches])
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as a set of triples."""
-    return reduce(DataFrame.unionByName, _branches(spark, sf_dir, distinct=True))
+    return _union(_branches(spark, sf_dir))
+
+
+def triples_for(spark: SparkSession, sf_dir: str, patterns: list[Pattern]) -> DataFrame:
+    """The branches of the view that can match one of the patterns.
+
+    Catalyst drops the other branches anyway; leaving them out here keeps the plan it has to analyse
+    short when a query scans the view many times.
+    """
+    full = [full_pattern(p) for p in patterns]
+
+    def can_match(branch: Branch) -> bool:
+        return any(
+            is_var(p) or (p == branch.predicate and (not branch.cls or is_var(o) or o == branch.cls))
+            for _, p, o in full
+        )
+
+    branches = _branches(spark, sf_dir)
+    matching = [b for b in branches if can_match(b)]
+    return _union(matching) if matching else branches[0].rows.where(F.lit(False))
 
 
 def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as the tables give it, with repeated triples (one per order line)."""
-    return reduce(DataFrame.unionByName, _branches(spark, sf_dir, distinct=False))
+    return _union(_branches(spark, sf_dir, distinct=False))
 
 
 # The rules of the view, (class, derived class) and (predicate, derived predicate).
@@ -109,3 +144,22 @@ def rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         spark.createDataFrame(CLASS_RULES, "cls string, super string"),
         spark.createDataFrame(PREDICATE_RULES, "pred string, super string"),
     )
+
+
+def university_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables seen through the university vocabulary, to exercise its rules.
+
+    Each customer belongs to the class that its nation's number picks; each supplier heads its nation.
+    """
+    classes = F.array(*(F.lit(f"<{PREFIX}{name}>") for name in CLASS_SUPERS))
+    picked = F.element_at(classes, F.col("c_nationkey") % len(CLASS_SUPERS) + 1)
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return _union(
+        [
+            _branch(customer, iri("customer", "c_custkey"), RDF_TYPE, picked),
+            _branch(
+                supplier,
+                iri("supplier", "s_suppkey"), f"<{PREFIX}headOf>", iri("nation", "s_nationkey"),
+            ),
+        ]
+    )
