@@ -91,11 +91,19 @@ def classify_triples(spark, sf_dir):
 
 
 def edges_by_predicate(spark, sf_dir):
-    return scans.edges_by_predicate(_view(spark, sf_dir), ["<contains>", "<placedBy>"])
+    predicates = ["<contains>", "<placedBy>"]
+    view = tables.triples_for(tune(spark), sf_dir, [("?s", p, "?o") for p in predicates])
+    return scans.edges_by_predicate(view, predicates)
 
 
 def filter_by_properties(spark, sf_dir):
-    return scans.filter_by_properties(_view(spark, sf_dir), URGENT_FILLED)
+    view = tables.triples_for(tune(spark), sf_dir, [("?x", p, o) for p, o in URGENT_FILLED])
+    return scans.filter_by_properties(view, URGENT_FILLED)
+
+
+def candidate_nodes(spark, sf_dir):
+    view = tables.triples_for(tune(spark), sf_dir, [("?x", p, o) for p, o in URGENT_FILLED])
+    return scans.candidate_nodes(view, URGENT_FILLED)
 
 
 def self_loop(spark, sf_dir):
@@ -137,15 +145,21 @@ def cross_bindings(spark, sf_dir):
 
 
 def extend_forward(spark, sf_dir):
-    view = _view(spark, sf_dir)
-    bound = scans.scan_pattern(view, ("?ord", "<placedBy>", "?cust"))
-    return match.extend(bound, view, ("?ord", "<contains>", "?part"))
+    step = ("?ord", "<contains>", "?part")
+    return match.extend(
+        _scan(spark, sf_dir, ("?ord", "<placedBy>", "?cust")),
+        tables.triples_for(spark, sf_dir, [step]),
+        step,
+    )
 
 
 def extend_backward(spark, sf_dir):
-    view = _view(spark, sf_dir)
-    bound = scans.scan_pattern(view, ("?cust", "<fromNation>", "<nation/3>"))
-    return match.extend(bound, view, ("?ord", "<placedBy>", "?cust"))
+    step = ("?ord", "<placedBy>", "?cust")
+    return match.extend(
+        _scan(spark, sf_dir, ("?cust", "<fromNation>", "<nation/3>")),
+        tables.triples_for(spark, sf_dir, [step]),
+        step,
+    )
 
 
 def subject_vertices(spark, sf_dir):
@@ -171,10 +185,11 @@ def match_weighted(spark, sf_dir):
 
 
 def exists_pattern(spark, sf_dir):
+    sold = ("?ord", "<contains>", "?part")
     return match.exists_pattern(
         _scan(spark, sf_dir, ("?part", RDF_TYPE, "<Part>")),
-        _view(spark, sf_dir),
-        ("?ord", "<contains>", "?part"),
+        tables.triples_for(spark, sf_dir, [sold]),
+        sold,
     )
 
 
@@ -396,7 +411,7 @@ def queries() -> dict[str, Query]:
         "predicate_weights": on_view(stats.predicate_weights),
         "node_degrees": on_edges(stats.node_degrees),
         "top_degree_node": on_edges(stats.top_degree_node),
-        "candidate_nodes": on_view(lambda t: scans.candidate_nodes(t, URGENT_FILLED)),
+        "candidate_nodes": candidate_nodes,
         "union_bindings": union_bindings,
         "merge_bindings": merge_bindings,
         "all_vertices": on_view(nodes.all_vertices),

@@ -92,11 +92,12 @@ reach2(r, t) AS (SELECT r, r FROM start UNION SELECT reach2.r, b FROM reach2 JOI
 parts AS (SELECT (SELECT count(*) FROM start) AS n0,
   (SELECT count(DISTINCT m) FROM (SELECT r, min(t) AS m FROM reach1 GROUP BY r)) AS n1,
   (SELECT count(DISTINCT m) FROM (SELECT r, min(t) AS m FROM reach2 GROUP BY r)) AS n2),
-sizes AS (SELECT p, count(*) AS n FROM edges GROUP BY p)
-SELECT p, CAST(CASE WHEN p = '<soldBy>' THEN (SELECT count(DISTINCT l_partkey) FROM lineitem) + n0 - n1
-  WHEN p = '<suppliedBy>' THEN n1 - n2 WHEN p = '<contains>' THEN 0 ELSE n END AS BIGINT) AS n_tree,
-  n - n_tree AS n_rest
-FROM sizes, parts"""
+sizes AS (SELECT p, count(*) AS n FROM edges GROUP BY p),
+sold AS (SELECT count(DISTINCT l_partkey) AS n_parts FROM lineitem),
+taken AS (SELECT p, n, CASE WHEN p = '<soldBy>' THEN n_parts + n0 - n1
+  WHEN p = '<suppliedBy>' THEN n1 - n2 WHEN p = '<contains>' THEN 0 ELSE n END AS n_tree
+  FROM sizes, parts, sold)
+SELECT p, n_tree, n - n_tree AS n_rest FROM taken"""
 
 
 def _university() -> str:

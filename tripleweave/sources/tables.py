@@ -1,7 +1,8 @@
 """A triples view over sales tables (regions, nations, customers, suppliers, parts, orders, lines).
 
-The view is a lazy union with one branch per predicate. A filter on ``p`` reaches every branch as a
-comparison of two constants, so a pattern scan reads only the table columns of its own predicate.
+The view is a lazy union. For a set of patterns it has one scan per predicate: a filter on ``p`` reaches
+each of them as a comparison of two constants, so a pattern reads only the table columns of its own
+predicate. For an operator over all triples it has one scan per table.
 Entity keys are unique in their tables; only branches over order lines need a distinct, which is done
 on the short keys before the terms are spelled out.
 """
@@ -19,9 +20,13 @@ from tripleweave.operators.inference import CLASS_SUPERS, PREFIX
 
 
 class Branch(NamedTuple):
-    predicate: str
-    cls: str | None  # the one object of a class branch
-    rows: DataFrame
+    """The triples of one predicate: a table and the three terms made from each of its rows."""
+
+    source: DataFrame
+    s: Column
+    p: str
+    o: Column
+    cls: str | None  # the object, where it is the same for the whole branch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,15 +41,10 @@ def text(column: str) -> Column:
     return F.concat(F.lit('"'), F.col(column), F.lit('"'))
 
 
-def _branch(df: DataFrame, s: Column, p: str, o: Column | str) -> Branch:
-    cls = o if isinstance(o, str) else None
-    return Branch(
-        p,
-        cls,
-        df.select(
-            s.alias("s"), F.lit(p).alias("p"), (F.lit(cls) if cls else o).alias("o")
-        ),
-    )
+def _branch(source: DataFrame, s: Column, p: str, o: Column | str) -> Branch:
+    if isinstance(o, str):
+        return Branch(source, s, p, F.lit(o), o)
+    return Branch(source, s, p, o, None)
 
 
 def _branches(spark: SparkSession, sf_dir: str, distinct: bool = True) -> list[Branch]:
@@ -101,37 +101,51 @@ def _branches(spark: SparkSession, sf_dir: str, distinct: bool = True) -> list[B
     ]
 
 
-def _union(branches: list[Branch]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [b.rows for b in branches])
+def _terms(branch: Branch) -> list[Column]:
+    return [branch.s.alias("s"), F.lit(branch.p).alias("p"), branch.o.alias("o")]
+
+
+def _by_predicate(branches: list[Branch]) -> DataFrame:
+    """One scan per predicate: a pattern reads the columns of its own predicate only."""
+    return reduce(DataFrame.unionByName, [b.source.select(*_terms(b)) for b in branches])
+
+
+def _by_table(branches: list[Branch]) -> DataFrame:
+    """One scan per table: a reader of all triples goes over each table once."""
+    sources: dict[int, list[Branch]] = {}
+    for b in branches:
+        sources.setdefault(id(b.source), []).append(b)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            group[0].source.select(F.inline(F.array(*(F.struct(*_terms(b)) for b in group))))
+            for group in sources.values()
+        ],
+    )
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as a set of triples."""
-    return _union(_branches(spark, sf_dir))
+    return _by_table(_branches(spark, sf_dir))
 
 
 def triples_for(spark: SparkSession, sf_dir: str, patterns: list[Pattern]) -> DataFrame:
-    """The branches of the view that can match one of the patterns.
-
-    Catalyst drops the other branches anyway; leaving them out here keeps the plan it has to analyse
-    short when a query scans the view many times.
-    """
+    """The part of the view that can match one of the patterns, with a scan of its own per predicate."""
     full = [full_pattern(p) for p in patterns]
 
-    def can_match(branch: Branch) -> bool:
+    def can_match(b: Branch) -> bool:
         return any(
-            is_var(p) or (p == branch.predicate and (not branch.cls or is_var(o) or o == branch.cls))
-            for _, p, o in full
+            is_var(p) or (p == b.p and (not b.cls or is_var(o) or o == b.cls)) for _, p, o in full
         )
 
     branches = _branches(spark, sf_dir)
     matching = [b for b in branches if can_match(b)]
-    return _union(matching) if matching else branches[0].rows.where(F.lit(False))
+    return _by_predicate(matching) if matching else _by_predicate(branches[:1]).where(F.lit(False))
 
 
 def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as the tables give it, with repeated triples (one per order line)."""
-    return _union(_branches(spark, sf_dir, distinct=False))
+    return _by_table(_branches(spark, sf_dir, distinct=False))
 
 
 # The rules of the view, (class, derived class) and (predicate, derived predicate).
@@ -154,7 +168,7 @@ def university_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = F.array(*(F.lit(f"<{PREFIX}{name}>") for name in CLASS_SUPERS))
     picked = F.element_at(classes, F.col("c_nationkey") % len(CLASS_SUPERS) + 1)
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    return _union(
+    return _by_table(
         [
             _branch(customer, iri("customer", "c_custkey"), RDF_TYPE, picked),
             _branch(
