@@ -1,0 +1,242 @@
+"""Pattern matching on small hand-made triples."""
+
+import itertools
+import random
+
+import pytest
+from helpers import TYPE, brute_force, frame, solutions
+
+from tripleweave.operators.match import (
+    count_solutions,
+    exists_pattern,
+    extend_closed,
+    match_bgp,
+    match_components,
+    merge_bindings,
+    natural_join,
+    project_terms,
+    union_bindings,
+)
+from tripleweave.operators.scans import (
+    candidate_nodes,
+    classify,
+    filter_by_properties,
+    scan_pattern,
+)
+
+CASES = {
+    "parallel": (
+        [("a", "p", "b"), ("a", "q", "c"), ("d", "p", "e"), ("d", "q", "e")],
+        [("?x", "p", "?y"), ("?x", "q", "?y")],
+        [("d", "e")],
+    ),
+    "siblings": (
+        [("a", "p", "b"), ("a", "p", "c")],
+        [("?x", "p", "?y"), ("?x", "p", "?z")],
+        [("a", "b", "b"), ("a", "b", "c"), ("a", "c", "b"), ("a", "c", "c")],
+    ),
+    "multi_valued_literal": (
+        [("a", "n", '"1"'), ("a", "n", '"2"')],
+        [("?x", "n", "?v")],
+        [("a", '"1"'), ("a", '"2"')],
+    ),
+    "constant_subject": ([("a", "n", '"1"'), ("b", "n", '"2"')], [("a", "n", "?v")], [('"1"',)]),
+    "variable_class": ([("a", TYPE, "C")], [("?x", TYPE, "?c")], [("a", "C")]),
+    "short_type": ([("a", TYPE, "C"), ("b", TYPE, "D")], [("?x", "rdf:type", "C")], [("a",)]),
+    "self_loop": ([("a", "p", "a"), ("a", "p", "b")], [("?x", "p", "?x")], [("a",)]),
+    "literal_closing_edge": (
+        [("a", "p", '"v"'), ("b", "q", '"v"'), ("a", "r", "b"), ("a", "r", "c")],
+        [("?x", "p", "?v"), ("?y", "q", "?v"), ("?x", "r", "?y")],
+        [("a", '"v"', "b")],
+    ),
+    "ground_true": (
+        [("a", "p", "b"), ("c", "q", "d")],
+        [("a", "p", "b"), ("?x", "q", "?y")],
+        [("c", "d")],
+    ),
+    "ground_false": (
+        [("a", "p", "b"), ("c", "q", "d")],
+        [("a", "p", "z"), ("?x", "q", "?y")],
+        [],
+    ),
+    "variable_predicate": (
+        [("a", "p", "b"), ("a", "q", "b"), ("c", "q", "d")],
+        [("?x", "?r", "?y"), ("?x", "p", "?y")],
+        [("a", "p", "b"), ("a", "q", "b")],
+    ),
+    "repeated_in_all_places": ([("p", "p", "p"), ("a", "p", "p")], [("?x", "?x", "?x")], [("p",)]),
+    "predicate_both_literal_and_edge": (
+        [("a", "p", '"1"'), ("a", "p", "b"), ("b", "q", "c")],
+        [("?x", "p", "?y")],
+        [("a", '"1"'), ("a", "b")],
+    ),
+    "names_like_columns": (
+        [("a", "p", "b"), ("b", "q", "c")],
+        [("?o", "p", "?s"), ("?s", "q", "?p")],
+        [("a", "b", "c")],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_cases(spark, name):
+    triples, patterns, wanted = CASES[name]
+    assert solutions(match_bgp(frame(spark, triples), patterns)) == wanted
+
+
+def cycle(n, rows):
+    """Edges of predicates e0..e(n-1) between layers, and the patterns of the closed cycle."""
+    triples = {(f"n{a}", f"e{i}", f"n{b}") for i, a, b in rows}
+    return sorted(triples), [(f"?v{i}", f"e{i}", f"?v{(i + 1) % n}") for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_cycles_against_brute_force(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.randrange(n), rng.randrange(6), rng.randrange(6)) for _ in range(14 * n)]
+    triples, patterns = cycle(n, rows)
+    assert solutions(match_bgp(frame(spark, triples), patterns)) == brute_force(triples, patterns)
+
+
+def test_random_patterns_against_brute_force(spark):
+    rng = random.Random(7)
+    triples = sorted(
+        {
+            (rng.choice("abcdef"), rng.choice("pqr"), rng.choice("abcdef"))
+            for _ in range(45)
+        }
+    )
+    df = frame(spark, triples).cache()
+    tried = 0
+    while tried < 15:
+        names = [f"?v{i}" for i in range(4)]
+        patterns = [
+            (
+                rng.choice(names + ["a"]),
+                rng.choice(["p", "q", "r", "?r"]),
+                rng.choice(names + ["b"]),
+            )
+            for _ in range(rng.randint(2, 4))
+        ]
+        tables = match_components(df, patterns)
+        if len(tables) > 1:
+            continue
+        tried += 1
+        assert solutions(match_bgp(df, patterns)) == brute_force(triples, patterns), patterns
+
+
+def test_pattern_order_does_not_matter(spark):
+    triples, patterns = cycle(
+        4, [(i, a, b) for i in range(4) for a in range(4) for b in range(4) if (a + b + i) % 3]
+    )
+    df = frame(spark, triples).cache()
+    wanted = None
+    for order in list(itertools.permutations(patterns))[::5]:
+        found = solutions(match_bgp(df, list(order)).select("v0", "v1", "v2", "v3"))
+        wanted = wanted or found
+        assert found == wanted
+    assert wanted == brute_force(triples, patterns)
+
+
+def test_weights_change_the_plan_not_the_answer(spark):
+    triples, patterns = cycle(3, [(i, a, b) for i in range(3) for a in range(5) for b in range(a)])
+    triples += [(f"n{i}", "e0", "n0") for i in range(5)]
+    df = frame(spark, sorted(set(triples)))
+    wanted = brute_force(sorted(set(triples)), patterns)
+    for order in itertools.permutations([1.0, 5.0, 9.0]):
+        weights = spark.createDataFrame(
+            [(f"e{i}", w) for i, w in enumerate(order)], "p string, weight double"
+        )
+        assert solutions(match_bgp(df, patterns, weights=weights)) == wanted
+
+
+def test_extend_closed_with_three_scans(spark):
+    rng = random.Random(3)
+    triples = sorted(
+        {(f"n{rng.randrange(8)}", rng.choice("abcd"), f"n{rng.randrange(8)}") for _ in range(120)}
+    )
+    df = frame(spark, triples)
+    path = [("?x", "a", "?y"), ("?y", "b", "?z")]
+    closing = [("?x", "c", "?w"), ("?w", "d", "?y"), ("?z", "a", "?w")]
+    bound = match_bgp(df, path)
+    found = extend_closed(bound, [scan_pattern(df, p) for p in closing])
+    assert solutions(found) == brute_force(triples, path + closing)
+
+
+def test_hot_node_triangle(spark):
+    """A hub with many neighbours on both sides: few triangles, no pair of neighbours is built."""
+    triples = [("hub", "a", f"l{i}") for i in range(300)]
+    triples += [("hub", "c", f"r{i}") for i in range(300)]
+    triples += [(f"l{i}", "b", f"r{i}") for i in range(0, 300, 10)]
+    patterns = [("?x", "a", "?y"), ("?y", "b", "?z"), ("?x", "c", "?z")]
+    found = solutions(match_bgp(frame(spark, triples), patterns))
+    assert found == sorted(("hub", f"l{i}", f"r{i}") for i in range(0, 300, 10))
+
+
+def test_disconnected_parts_stay_apart(spark):
+    df = frame(spark, [("a", "p", "b"), ("c", "q", "d"), ("c", "q", "e")])
+    patterns = [("?x", "p", "?y"), ("?z", "q", "?w")]
+    tables = match_components(df, patterns)
+    assert [t.columns for t in tables] == [["x", "y"], ["z", "w"]]
+    assert [solutions(t) for t in tables] == [[("a", "b")], [("c", "d"), ("c", "e")]]
+    assert count_solutions(*tables).first()["n"] == 2
+    with pytest.raises(ValueError, match="match_components"):
+        match_bgp(df, patterns)
+
+
+def test_only_ground_patterns(spark):
+    df = frame(spark, [("a", "p", "b")])
+    assert match_bgp(df, [("a", "p", "b")]).count() == 1
+    assert match_bgp(df, [("a", "p", "c")]).count() == 0
+
+
+def test_names_must_differ_by_more_than_case(spark):
+    with pytest.raises(ValueError, match="case"):
+        match_bgp(frame(spark, [("a", "p", "b")]), [("?X", "p", "?x")])
+
+
+def test_keep_constants(spark):
+    df = frame(spark, [("a", "p", "k"), ("a", TYPE, "C"), ("a", "n", '"1"')])
+    patterns = [("?x", TYPE, "C"), ("?x", "p", "k"), ("?x", "n", '"1"')]
+    found = match_bgp(df, patterns, keep_constants=True)
+    assert found.columns == ["x", "k"]
+    assert solutions(found) == [("a", "k")]
+    assert project_terms(found, patterns).columns == ["x", "k"]
+
+
+def test_union_merge_and_join(spark):
+    a = spark.createDataFrame([("1", "2")], "x string, y string")
+    b = spark.createDataFrame([("2", "1"), ("5", "4")], "y string, x string")
+    c = spark.createDataFrame([("2", "3"), ("9", "9")], "y string, z string")
+    assert solutions(union_bindings(a, b)) == [("1", "2"), ("1", "2"), ("4", "5")]
+    assert solutions(merge_bindings(a, b)) == [("1", "2"), ("1", "2"), ("4", "5")]
+    assert solutions(merge_bindings(a, c)) == [("1", "2", "3")]
+    assert natural_join(a, c).columns == ["x", "y", "z"]
+    assert solutions(merge_bindings(spark.range(1).select(), c)) == solutions(c)
+    with pytest.raises(ValueError, match="no shared column"):
+        natural_join(a, c.select("z"))
+
+
+def test_exists_pattern(spark):
+    df = frame(spark, [("a", "p", "b"), ("a", "p", "c"), ("d", "q", "e")])
+    who = spark.createDataFrame([("a",), ("d",)], "x string")
+    assert solutions(exists_pattern(who, df, ("?x", "p", "?y"))) == [("a",)]
+    assert solutions(exists_pattern(who, df, ("d", "q", "e"))) == [("a",), ("d",)]
+    assert solutions(exists_pattern(who, df, ("d", "q", "f"))) == []
+
+
+def test_properties_of_nodes(spark):
+    df = frame(
+        spark,
+        [("a", TYPE, "C"), ("a", "n", '"1"'), ("b", TYPE, "C"), ("b", "n", '"2"'), ("c", "p", "a")],
+    )
+    wanted = [("rdf:type", "C"), ("n", '"1"')]
+    assert solutions(filter_by_properties(df, wanted)) == [("a",)]
+    assert solutions(filter_by_properties(df, [(TYPE, "C")])) == [("a",), ("b",)]
+    assert candidate_nodes(df, wanted).first()["n"] == 1
+
+
+def test_literal_object_wins_over_type(spark):
+    df = frame(spark, [("a", TYPE, '"x"'), ("a", TYPE, "C"), ("a", "p", "C")])
+    kinds = {(r["o"], r["p"]): r["kind"] for r in classify(df).collect()}
+    assert kinds == {('"x"', TYPE): "literal", ("C", TYPE): "type", ("C", "p"): "object"}

@@ -62,7 +62,9 @@ def exists_pattern(bindings: DataFrame, triples: DataFrame, pattern: Pattern) ->
     shared = shared_columns(bindings, found)
     if not shared:
         raise ValueError(f"{pattern} shares no variable with {bindings.columns}")
-    return bindings.join(found.select(*shared), shared, "left_semi")
+    if len(shared) < len(found.columns):
+        found = found.select(*shared).distinct()  # a hot node is one row to look up
+    return bindings.join(found, shared, "left_semi").select(*bindings.columns)
 
 
 def extend_closed(bindings: DataFrame, scans: list[DataFrame]) -> DataFrame:
@@ -84,11 +86,11 @@ def extend_closed(bindings: DataFrame, scans: list[DataFrame]) -> DataFrame:
     grown = []
     for i, (scan, key) in enumerate(zip(scans, keys)):
         branch = counted.where(fewest == i + 1).select(*bindings.columns)
-        branch = branch.join(scan, key, "inner").select(*bindings.columns, new)
+        branch = branch.join(scan, key, "inner")
         for j, (other, other_key) in enumerate(zip(scans, keys)):
             if j != i:
                 branch = branch.join(other, [*other_key, new], "left_semi")
-        grown.append(branch)
+        grown.append(branch.select(*bindings.columns, new))
     return reduce(DataFrame.unionByName, grown)
 
 
