@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.functions.terms import (
@@ -78,20 +78,37 @@ def extend_closed(bindings: DataFrame, scans: list[DataFrame]) -> DataFrame:
     keys = [shared_columns(bindings, scan) for scan in scans]
     new = next(c for c in scans[0].columns if c not in bindings.columns)
     counts = [f"__n{i}" for i in range(len(scans))]
-    counted = bindings
-    for scan, key, n in zip(scans, keys, counts):
-        counted = counted.join(scan.groupBy(*key).agg(F.count(F.lit(1)).alias(n)), key, "inner")
-    fewest = F.array_position(F.array(*counts), F.least(*counts))
+    turns = range(len(scans))
+    single = all(len(key) == 1 for key in keys)
+
+    def term(key: list[str]) -> Column:
+        return F.col(key[0]) if single else F.array(*key)
+
+    def joined_with(rows: DataFrame, shift: int, on: list[str]) -> DataFrame:
+        """Join every row with the scan ``shift`` places after the one it grows along, in one join:
+        the scans are stacked and told apart by the turn they serve."""
+        of_turn = [(i + shift) % len(scans) for i in turns]
+        stacked = reduce(
+            DataFrame.unionByName,
+            [
+                scans[j].select(F.lit(i).alias("__turn"), term(keys[j]).alias("__key"), new)
+                for i, j in zip(turns, of_turn)
+            ],
+        )
+        key = F.coalesce(
+            *(F.when(F.col("__turn") == i, term(keys[j])) for i, j in zip(turns, of_turn))
+        )
+        return rows.withColumn("__key", key).join(stacked, ["__turn", "__key", *on]).drop("__key")
 
-    grown = []
-    for i, (scan, key) in enumerate(zip(scans, keys)):
-        branch = counted.where(fewest == i + 1).select(*bindings.columns)
-        branch = branch.join(scan, key, "inner")
-        for j, (other, other_key) in enumerate(zip(scans, keys)):
-            if j != i:
-                branch = branch.join(other, [*other_key, new], "left_semi")
-        grown.append(branch.select(*bindings.columns, new))
-    return reduce(DataFrame.unionByName, grown)
+    rows = bindings
+    for scan, key, n in zip(scans, keys, counts):
+        rows = rows.join(scan.groupBy(*key).agg(F.count(F.lit(1)).alias(n)), key)
+    turn = F.array_position(F.array(*counts), F.least(*counts)) - 1
+    rows = rows.withColumn("__turn", turn.cast("int")).drop(*counts)
+    rows = joined_with(rows, 0, [])
+    for shift in turns[1:]:
+        rows = joined_with(rows, shift, [new])
+    return rows.select(*bindings.columns, new)
 
 
 def _components(patterns: list[Pattern]) -> list[list[Pattern]]:
@@ -143,7 +160,9 @@ def _match_connected(
         closed = [p for p in todo if bound.issuperset(pattern_vars(p))]
         if closed:
             for pattern in closed:
-                bindings = exists_pattern(bindings, triples, pattern)
+                # All columns are shared and triples are a set, so the join only filters; as an inner
+                # join Spark may also broadcast a small binding table instead of shuffling the scan.
+                bindings = extend(bindings, triples, pattern)
                 todo.remove(pattern)
             continue
         steps: dict[frozenset, list[Pattern]] = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from tripleweave.functions.terms import RDF_TYPE, Pattern
 from tripleweave.operators import graph, inference, match, nodes, scans, stats
 from tripleweave.plans.workload import CYCLE, W3, W8, W9, WORKLOAD
-from tripleweave.session import shared_dir, tune
+from tripleweave.session import scratch_path, tune
 from tripleweave.sources import tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +36,6 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.object_edges(_view(spark, sf_dir))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder where every executor can read what another has written."""
-    return f"{shared_dir(spark)}/{uuid.uuid4()}"
-
-
 def _bgp(spark: SparkSession, sf_dir: str, patterns: list[Pattern], **options) -> DataFrame:
     return match.match_bgp(tables.triples_for(tune(spark), sf_dir, patterns), patterns, **options)
 
@@ -54,19 +48,19 @@ def _scan(spark: SparkSession, sf_dir: str, pattern: Pattern) -> DataFrame:
 
 
 def read_triples(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch_path(spark)
     text.write_triples(_view(spark, sf_dir), path)
     return text.read_triples(spark, path)
 
 
 def read_weights(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch_path(spark)
     text.weight_lines(stats.predicate_weights(_view(spark, sf_dir))).write.text(path)
     return text.read_weights(spark, path)
 
 
 def write_triples(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch_path(spark)
     text.write_triples(_view(spark, sf_dir), path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, where every executor can read what another has written."""
+    return f"{shared_dir(spark)}/{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and go on from there, with its lineage cut.
+
+    Unlike a row checkpoint the table is columnar, and its size is known when joins are planned.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
