@@ -14,8 +14,9 @@ SHORT_TYPE = "rdf:type"
 Pattern = tuple[str, str, str]
 
 
-def is_var(term: str) -> bool:
-    return term.startswith("?")
+def is_var(term: str | int) -> bool:
+    """Encoded constants are numbers, every other term is a string."""
+    return isinstance(term, str) and term.startswith("?")
 
 
 def is_literal(term: str) -> bool:

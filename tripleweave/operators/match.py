@@ -134,62 +134,85 @@ def _weight_of(weights: DataFrame | None, patterns: list[Pattern]) -> dict[str,
     return {r["p"]: r["weight"] for r in rows}
 
 
-def _match_connected(
-    triples: DataFrame, patterns: list[Pattern], weight: dict[str, float]
-) -> DataFrame:
-    """Fold the patterns into one binding table, never leaving the bound variables.
+def join_order(patterns: list[Pattern], weight: dict[str, float]) -> list[list[Pattern]]:
+    """The steps in which connected patterns are joined, never leaving the bound variables.
 
-    Starts at a constant if there is one, checks a pattern as soon as both its ends are bound, and
-    takes next the variable that most patterns restrict, then the lightest pattern, then text order.
+    Starts at a constant if there is one, checks a pattern as soon as its variables are bound, and
+    binds next the variable that most patterns restrict, then the one with the lightest pattern, then
+    the first in the text. Patterns that bind the same variable make up one step.
     """
 
+    def weight_of(pattern: Pattern) -> float:
+        return weight.get(pattern[1], 0.0)
+
     def start_rank(pattern: Pattern) -> tuple:
         s, p, o = pattern
-        if p == RDF_TYPE:
-            rank = 2
-        else:
-            rank = 1 if is_var(s) and is_var(o) else 0
-        return rank, weight.get(p, 0.0), todo.index(pattern)
+        rank = 2 if p == RDF_TYPE else int(is_var(s) and is_var(o))
+        return rank, weight_of(pattern), patterns.index(pattern)
 
-    todo = list(patterns)
-    start = min(todo, key=start_rank)
-    todo.remove(start)
-    bindings = scan_pattern(triples, start)
+    def step_rank(step: list[Pattern]) -> tuple:
+        return -len(step), min(map(weight_of, step)), patterns.index(step[0])
+
+    start = min(patterns, key=start_rank)
+    steps = [[start]]
+    bound = set(pattern_vars(start))
+    todo = [p for p in patterns if p != start]
     while todo:
-        bound = set(bindings.columns)
         closed = [p for p in todo if bound.issuperset(pattern_vars(p))]
         if closed:
-            for pattern in closed:
-                # All columns are shared and triples are a set, so the join only filters; as an inner
-                # join Spark may also broadcast a small binding table instead of shuffling the scan.
-                bindings = extend(bindings, triples, pattern)
-                todo.remove(pattern)
-            continue
-        steps: dict[frozenset, list[Pattern]] = {}
-        for pattern in todo:
-            names = set(pattern_vars(pattern))
-            if names & bound:
-                steps.setdefault(frozenset(names - bound), []).append(pattern)
-        new, step = min(
-            steps.items(),
-            key=lambda e: (
-                -len(e[1]),
-                min(weight.get(p, 0.0) for _, p, _ in e[1]),
-                todo.index(e[1][0]),
-            ),
-        )
-        step.sort(key=lambda p: weight.get(p[1], 0.0))
-        if len(step) == 1 or len(new) > 1:
-            bindings = extend(bindings, triples, step[0])
-            todo.remove(step[0])
+            steps += [[p] for p in closed]
+        else:
+            by_new: dict[frozenset, list[Pattern]] = {}
+            for pattern in todo:
+                names = set(pattern_vars(pattern))
+                if names & bound:
+                    by_new.setdefault(frozenset(names - bound), []).append(pattern)
+            step = min(by_new.values(), key=step_rank)
+            step = sorted(step, key=weight_of)
+            new = set(pattern_vars(step[0])) - bound
+            steps.append(step if len(new) == 1 else step[:1])
+            bound |= new
+        todo = [p for p in todo if p not in {q for step in steps for q in step}]
+    return steps
+
+
+def _without_dead_ends(
+    scans: dict[Pattern, DataFrame], order: list[Pattern]
+) -> dict[Pattern, DataFrame]:
+    """Filter each scan, last to first, by the scans that are joined to it later."""
+    scans = dict(scans)
+    for i in range(len(order) - 1, 0, -1):
+        later = scans[order[i]]
+        earlier = next(p for p in order[:i] if set(scans[p].columns) & set(later.columns))
+        shared = shared_columns(scans[earlier], later)
+        kept = scans[earlier].join(later.select(*shared).distinct(), shared, "left_semi")
+        scans[earlier] = kept.select(*scans[earlier].columns)
+    return scans
+
+
+def _match_connected(
+    triples: DataFrame, patterns: list[Pattern], weight: dict[str, float], prune: bool
+) -> DataFrame:
+    steps = join_order(patterns, weight)
+    scans = {p: scan_pattern(triples, p) for p in patterns}
+    if prune:
+        scans = _without_dead_ends(scans, [p for step in steps for p in step])
+    bindings = scans[steps[0][0]]
+    for step in steps[1:]:
+        # A pattern whose columns are all bound only filters, as triples are a set. As an inner join
+        # Spark may also broadcast a small binding table instead of shuffling the scan.
+        if len(step) == 1:
+            bindings = natural_join(bindings, scans[step[0]])
         else:
-            bindings = extend_closed(bindings, [scan_pattern(triples, p) for p in step])
-            todo = [p for p in todo if p not in step]
+            bindings = extend_closed(bindings, [scans[p] for p in step])
     return bindings
 
 
 def match_components(
-    triples: DataFrame, patterns: list[Pattern], weights: DataFrame | None = None
+    triples: DataFrame,
+    patterns: list[Pattern],
+    weights: DataFrame | None = None,
+    prune: bool = False,
 ) -> list[DataFrame]:
     """Solutions of the patterns, one binding table per connected part.
 
@@ -207,7 +230,7 @@ def match_components(
     tables = []
     for part in _components(linked):
         names = list(dict.fromkeys(v for p in part for v in pattern_vars(p)))
-        tables.append(_match_connected(triples, part, weight).select(*names))
+        tables.append(_match_connected(triples, part, weight, prune).select(*names))
     if not tables:
         tables = [triples.sparkSession.range(1).select()]
     for pattern in ground:
@@ -220,13 +243,16 @@ def match_bgp(
     patterns: list[Pattern],
     weights: DataFrame | None = None,
     keep_constants: bool = False,
+    prune: bool = False,
 ) -> DataFrame:
     """All solutions of a connected set of triple patterns, one column per variable.
 
     ``weights`` (``p, weight``) makes light predicates come first. ``keep_constants`` adds a column
-    for each constant end of an edge pattern, named after it, in first-seen order.
+    for each constant end of an edge pattern, named after it, in first-seen order. ``prune`` first
+    drops the triples that no later pattern can continue; for patterns without cycles every
+    intermediate row then leads to a solution, which pays where many edges of hot nodes lead nowhere.
     """
-    tables = match_components(triples, patterns, weights)
+    tables = match_components(triples, patterns, weights, prune)
     if len(tables) > 1:
         raise ValueError(
             "the patterns fall into parts without a shared variable: "

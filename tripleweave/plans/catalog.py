@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleweave.functions.terms import RDF_TYPE, Pattern
-from tripleweave.operators import graph, inference, match, nodes, scans, stats
+from tripleweave.operators import encoded, graph, inference, match, nodes, scans, stats
 from tripleweave.plans.workload import CYCLE, W3, W8, W9, WORKLOAD
 from tripleweave.session import scratch_path, tune
 from tripleweave.sources import tables, text
@@ -178,6 +178,14 @@ def match_weighted(spark, sf_dir):
     return _bgp(spark, sf_dir, WEIGHTED, weights=weights)
 
 
+def match_encoded(spark, sf_dir):
+    """The cycle over ids, its answer turned back into terms."""
+    view = tables.triples_for(tune(spark), sf_dir, CYCLE)
+    dictionary = nodes.node_ids(view)
+    found = encoded.match_encoded(encoded.encode_triples(view, dictionary), dictionary, CYCLE)
+    return encoded.decode(found, dictionary)
+
+
 def exists_pattern(spark, sf_dir):
     sold = ("?ord", "<contains>", "?part")
     return match.exists_pattern(
@@ -396,6 +404,8 @@ def queries() -> dict[str, Query]:
         "object_vertices": object_vertices,
         "encode_edges": encode_edges,
         "match_bgp": match_weighted,
+        "match_pruned": bgp(WEIGHTED, prune=True),
+        "match_encoded": match_encoded,
         "exists_pattern": exists_pattern,
         "distinct_nodes": on_view(nodes.distinct_nodes),
         "distinct_edges": distinct_edges,

@@ -56,6 +56,20 @@ TRIANGLE = f"""SELECT '<order/'||l_orderkey||'>' AS ord, '<part/'||l_partkey||'>
   '<supplier/'||l_suppkey||'>' AS sup
 FROM {CONTAINS} JOIN {SOLD} USING (l_partkey) JOIN {SUPPLIED} USING (l_orderkey, l_suppkey)"""
 
+# Orders whose customer and supplier share a nation.
+NATION_CYCLE = f"""SELECT '<order/'||o_orderkey||'>' AS ord, '<customer/'||c_custkey||'>' AS cust,
+  '<nation/'||c_nationkey||'>' AS nat, '<supplier/'||s_suppkey||'>' AS sup
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN {SUPPLIED} ON l_orderkey = o_orderkey
+JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey"""
+
+# What customers of one region ordered.
+REGION_SALES = f"""SELECT '<order/'||o_orderkey||'>' AS ord, '<part/'||p_partkey||'>' AS part,
+'"'||p_brand||'"' AS brand, '<customer/'||c_custkey||'>' AS cust,
+'<nation/'||n_nationkey||'>' AS nat
+FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+JOIN {CONTAINS} ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+WHERE n_regionkey = 1"""
+
 # Neighbours both ways, the levels reached from the roots, and the weights per predicate.
 LEVELS = f"""WITH RECURSIVE {TRIPLES}, {EDGES},
 ways AS (SELECT s AS a, o AS b FROM edges UNION SELECT o, s FROM edges),
@@ -196,10 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "path_match": "SELECT '<order/'||o_orderkey||'>' AS ord, '<customer/'||c_custkey||'>' AS cust, "
         "'<nation/'||n_nationkey||'>' AS nat, '<region/'||n_regionkey||'>' AS reg FROM orders "
         "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
-        "cycle_match": "SELECT '<order/'||o_orderkey||'>' AS ord, '<customer/'||c_custkey||'>' AS cust, "
-        "'<nation/'||c_nationkey||'>' AS nat, '<supplier/'||s_suppkey||'>' AS sup FROM orders "
-        f"JOIN customer ON o_custkey = c_custkey JOIN {SUPPLIED} ON l_orderkey = o_orderkey "
-        "JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey",
+        "cycle_match": NATION_CYCLE,
         "five_cycle": "SELECT '<order/'||o_orderkey||'>' AS ord, '<customer/'||c_custkey||'>' AS cust, "
         "'<nation/'||c_nationkey||'>' AS nat, '<supplier/'||s_suppkey||'>' AS sup, "
         "'<part/'||c.l_partkey||'>' AS part FROM orders JOIN customer ON o_custkey = c_custkey "
@@ -218,12 +229,9 @@ def oracle_sql() -> dict[str, str]:
             "nodes AS (SELECT s AS node FROM part_edges UNION SELECT o FROM part_edges)",
             IDS,
         ),
-        "match_bgp": f"""SELECT '<order/'||o_orderkey||'>' AS ord, '<part/'||p_partkey||'>' AS part,
-            '"'||p_brand||'"' AS brand, '<customer/'||c_custkey||'>' AS cust,
-            '<nation/'||n_nationkey||'>' AS nat
-            FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
-            JOIN {CONTAINS} ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
-            WHERE n_regionkey = 1""",
+        "match_bgp": REGION_SALES,
+        "match_pruned": REGION_SALES,
+        "match_encoded": NATION_CYCLE,
         "exists_pattern": "SELECT '<part/'||p_partkey||'>' AS part FROM part "
         "WHERE p_partkey IN (SELECT l_partkey FROM lineitem)",
         "distinct_nodes": _of_triples("SELECT node FROM nodes", NODES),

@@ -7,18 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Run-time settings the joins rely on: a hot node's rows are split over several tasks, also where
-# the split costs one more shuffle afterwards.
-SKEW_CONF = {
+# Settings the joins rely on, all of them changeable while a session runs.
+JOIN_CONF = {
+    # A hot node's rows are split over several tasks, also where that costs one more shuffle later.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Skip the sort where every shuffled partition has turned out small enough to hash.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Triples compress well: compare the broadcast limit with their size in memory, not on disk.
+    "spark.sql.sources.fileCompressionFactor": "8.0",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution with skew-join splitting for this session."""
-    for key, value in SKEW_CONF.items():
+    """Set up a session for joins on keys of any size and skew."""
+    for key, value in JOIN_CONF.items():
         spark.conf.set(key, value)
     return spark
 
