@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tripleweave.operators import nodes, scans
 from tripleweave.operators.match import match_bgp, natural_join
 from tripleweave.plans.workload import WORKLOAD
-from tripleweave.sources import store, tables
+from tripleweave.sources import store, tables, text
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -47,31 +47,81 @@ def test_no_products_and_no_python(triples, name, prune):
         assert bad not in text
 
 
-def test_a_hot_key_is_split(spark, triples):
-    """A third of all edges lead to one node; the join deals them to several tasks."""
-    hot = triples.where("p = '<contains>'").select(
-        F.col("s").alias("x"),
-        F.when(F.xxhash64("s", "o") % 3 == 0, "hot").otherwise(F.col("o")).alias("y"),
-    )
-    targets = hot.select("y").distinct().withColumn("z", F.upper("y"))
+@pytest.fixture
+def shuffled(spark):
+    """Settings under which a few thousand rows are shuffled and looked at for skew."""
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.shuffle.partitions": "64",
     }
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
     for key, value in conf.items():
         spark.conf.set(key, value)
-    try:
-        joined = natural_join(hot.repartition(8), targets)
-        assert joined.count() == hot.count()
-        joined.collect()
-        assert "skew=true" in plan(joined)
-    finally:
-        for key in conf:
-            spark.conf.unset(key)
+    yield
+    for key in conf:
+        spark.conf.unset(key)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+@pytest.fixture
+def hot(spark):
+    """Edges of which a third lead to one node, from several map tasks."""
+    pattern = ("?s", "<contains>", "?o")
+    return (
+        tables.triples_for(spark, "/root/testdata/sf0.01", [pattern])
+        .select(
+            "s",
+            "p",
+            F.when(F.xxhash64("s") % 3 == 0, "hot").otherwise(F.col("o")).alias("o"),
+        )
+        .withColumn("s", F.concat("s", F.lit("/"), F.monotonically_increasing_id()))
+        .repartition(8)
+    )
+
+
+def splits(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0].count("skew=true")
+
+
+def test_a_hot_key_is_split_against_a_grouped_side(shuffled, hot):
+    edges = hot.select(F.col("s").alias("x"), F.col("o").alias("y"))
+    degrees = edges.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    joined = natural_join(edges, degrees)
+    assert splits(joined)
+    assert joined.count() == edges.count()
+
+
+def test_a_hot_key_is_split_in_every_join_on_it(shuffled, hot):
+    """Two tables with one row per node, then the hot edges: the third table is split as well."""
+    nodes_once = hot.select(F.col("o").alias("y")).distinct()
+    first = nodes_once.withColumn("a", F.upper("y"))
+    second = nodes_once.withColumn("b", F.lower("y"))
+    edges = hot.select(F.col("s").alias("x"), F.col("o").alias("y"))
+    joined = natural_join(natural_join(first, second), edges)
+    assert splits(joined)
+    assert joined.count() == edges.count()
+
+
+def test_hot_nodes_are_split_in_node_operators(shuffled, hot):
+    ids = nodes.node_ids(hot)
+    turned = hot.select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    assert splits(nodes.subject_vertices(turned, ids))
+    assert splits(nodes.encode_edges(hot, ids))
+    literal = turned.select("s", "p", F.concat(F.lit('"'), "o", F.lit('"')).alias("o"))
+    vertices = nodes.encoded_vertices(literal, nodes.node_ids(literal))
+    assert splits(vertices)
+    assert splits(text.vertex_lines(vertices, max_props=50))
+
+
+def test_a_closing_extension_splits_hot_nodes(shuffled, hot):
+    triples = hot.unionByName(hot.select("s", F.lit("<again>").alias("p"), "o"))
+    wedge = [("?x", "<contains>", "?y"), ("?z", "<contains>", "?y"), ("?x", "<again>", "?z")]
+    assert splits(match_bgp(triples, wedge))
 
 
 def test_ids_are_numbered_by_range(spark, triples):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.functions.terms import Pattern, full_pattern, is_var
+from tripleweave.operators.joins import skew_join
 from tripleweave.operators.match import match_bgp
 
 # Fixed value: an id no node has, for constants the dictionary does not know.
@@ -21,10 +22,8 @@ def encode_triples(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     """All triples over ids, as ``DF(s bigint, p string, o bigint)``; the dictionary has every node."""
     source = dictionary.select(F.col("node").alias("s"), F.col("id").alias("s_id"))
     target = dictionary.select(F.col("node").alias("o"), F.col("id").alias("o_id"))
-    return (
-        triples.join(source, "s")
-        .join(target, "o")
-        .select(F.col("s_id").alias("s"), "p", F.col("o_id").alias("o"))
+    return skew_join(skew_join(triples, source, ["s"]), target, ["o"]).select(
+        F.col("s_id").alias("s"), "p", F.col("o_id").alias("o")
     )
 
 
@@ -52,7 +51,9 @@ def decode(bindings: DataFrame, dictionary: DataFrame) -> DataFrame:
     for name, dtype in bindings.dtypes:
         if dtype == "bigint":
             terms = dictionary.select(F.col("id").alias(name), F.col("node").alias("__term"))
-            bindings = bindings.join(terms, name).drop(name).withColumnRenamed("__term", name)
+            bindings = (
+                skew_join(bindings, terms, [name]).drop(name).withColumnRenamed("__term", name)
+            )
     return bindings.select(*columns)
 
 

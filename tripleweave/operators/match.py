@@ -1,8 +1,8 @@
 """Joining binding tables, and matching whole sets of triple patterns.
 
 A binding table is a DataFrame with one string column per variable. All joins are equi-joins on the
-columns two tables share, so Spark picks broadcast or sort-merge by size and splits hot keys at run
-time. Nothing here multiplies tables that share no column: patterns that fall into unconnected parts
+columns two tables share, so Spark picks broadcast, hash or sort-merge by size and splits hot keys at
+run time. Nothing here multiplies tables that share no column: patterns that fall into unconnected parts
 are answered part by part (``match_components``).
 """
 
@@ -22,6 +22,7 @@ from tripleweave.functions.terms import (
     is_var,
     pattern_vars,
 )
+from tripleweave.operators.joins import skew_join
 from tripleweave.operators.scans import scan_pattern
 
 
@@ -34,7 +35,7 @@ def natural_join(a: DataFrame, b: DataFrame) -> DataFrame:
     shared = shared_columns(a, b)
     if not shared:
         raise ValueError(f"no shared column between {a.columns} and {b.columns}")
-    return a.join(b, shared, "inner").select(*a.columns, *(c for c in b.columns if c not in shared))
+    return skew_join(a, b, shared).select(*a.columns, *(c for c in b.columns if c not in shared))
 
 
 def union_bindings(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def exists_pattern(bindings: DataFrame, triples: DataFrame, pattern: Pattern) ->
         raise ValueError(f"{pattern} shares no variable with {bindings.columns}")
     if len(shared) < len(found.columns):
         found = found.select(*shared).distinct()  # a hot node is one row to look up
-    return bindings.join(found, shared, "left_semi").select(*bindings.columns)
+    return skew_join(bindings, found, shared, "left_semi").select(*bindings.columns)
 
 
 def extend_closed(bindings: DataFrame, scans: list[DataFrame]) -> DataFrame:
@@ -102,7 +103,7 @@ def extend_closed(bindings: DataFrame, scans: list[DataFrame]) -> DataFrame:
 
     rows = bindings
     for scan, key, n in zip(scans, keys, counts):
-        rows = rows.join(scan.groupBy(*key).agg(F.count(F.lit(1)).alias(n)), key)
+        rows = skew_join(rows, scan.groupBy(*key).agg(F.count(F.lit(1)).alias(n)), key)
     turn = F.array_position(F.array(*counts), F.least(*counts)) - 1
     rows = rows.withColumn("__turn", turn.cast("int")).drop(*counts)
     rows = joined_with(rows, 0, [])
@@ -185,7 +186,8 @@ def _without_dead_ends(
         later = scans[order[i]]
         earlier = next(p for p in order[:i] if set(scans[p].columns) & set(later.columns))
         shared = shared_columns(scans[earlier], later)
-        kept = scans[earlier].join(later.select(*shared).distinct(), shared, "left_semi")
+        alive = later.select(*shared).distinct()
+        kept = skew_join(scans[earlier], alive, shared, "left_semi")
         scans[earlier] = kept.select(*scans[earlier].columns)
     return scans
 

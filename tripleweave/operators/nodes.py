@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleweave.functions.terms import kind
+from tripleweave.operators.joins import skew_join
 from tripleweave.operators.scans import object_edges, properties
 from tripleweave.session import cut
 
@@ -63,7 +64,10 @@ def richest_record(records: DataFrame) -> DataFrame:
 
 def subject_vertices(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Attach the vertex columns of ``nodes`` to each triple by its subject."""
-    return triples.join(nodes, F.col("s") == F.col("node"), "inner").drop("node")
+    own = nodes.withColumnRenamed("node", "s")
+    return skew_join(triples, own, ["s"]).select(
+        "s", "p", "o", *(c for c in nodes.columns if c != "node")
+    )
 
 
 def object_vertices(triples: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def encode_edges(edges: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace both ends by their ids, as ``DF(src, p, dst)``; edges with an unknown end drop out."""
     source = dictionary.select(F.col("node").alias("s"), F.col("id").alias("src"))
     target = dictionary.select(F.col("node").alias("o"), F.col("id").alias("dst"))
-    return edges.join(source, "s").join(target, "o").select("src", "p", "dst")
+    return skew_join(skew_join(edges, source, ["s"]), target, ["o"]).select("src", "p", "dst")
 
 
 def encoded_edges(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -128,5 +132,12 @@ def encoded_edges(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def encoded_vertices(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The vertex table over ids: a row ``(id, node, p, o)`` per property, one with nulls for a node
-    without properties."""
-    return dictionary.join(node_properties(triples), "node", "left").select("id", "node", "p", "o")
+    without properties. Two joins instead of an outer one, which could not split a hot node's
+    properties."""
+    props = node_properties(triples)
+    with_props = skew_join(props, dictionary, ["node"]).select("id", "node", "p", "o")
+    missing = F.lit(None).cast("string")
+    without = dictionary.join(props.select("node").distinct(), "node", "left_anti").select(
+        "id", "node", missing.alias("p"), missing.alias("o")
+    )
+    return with_props.unionByName(without)
