@@ -130,3 +130,13 @@ def test_ids_are_numbered_by_range(spark, triples):
     assert "BroadcastHashJoin" in text
     window = text.index("Window")
     assert "HashAggregate(keys=[part" in text[window:]
+
+
+def test_a_small_binding_table_is_broadcast_when_its_size_is_known(spark, triples):
+    """One customer's orders: the scans joined to them are not shuffled."""
+    text = plan(match_bgp(triples, WORKLOAD["w4"], stepwise=True))
+    assert "BroadcastHashJoin" in text
+    assert "Exchange hashpartitioning" not in text
+    found = match_bgp(triples, WORKLOAD["w4"], stepwise=True)
+    assert found.exceptAll(match_bgp(triples, WORKLOAD["w4"])).isEmpty()
+    assert found.count() == 25

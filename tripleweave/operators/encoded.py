@@ -63,6 +63,8 @@ def match_encoded(
     patterns: list[Pattern],
     weights: DataFrame | None = None,
     prune: bool = False,
+    stepwise: bool = False,
 ) -> DataFrame:
     """Solutions over ids, one column per variable; ``decode`` gives the terms."""
-    return match_bgp(encoded, encode_patterns(patterns, dictionary), weights, prune=prune)
+    over_ids = encode_patterns(patterns, dictionary)
+    return match_bgp(encoded, over_ids, weights, prune=prune, stepwise=stepwise)

@@ -24,6 +24,7 @@ from tripleweave.functions.terms import (
 )
 from tripleweave.operators.joins import skew_join
 from tripleweave.operators.scans import scan_pattern
+from tripleweave.session import cut
 
 
 def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
@@ -193,7 +194,11 @@ def _without_dead_ends(
 
 
 def _match_connected(
-    triples: DataFrame, patterns: list[Pattern], weight: dict[str, float], prune: bool
+    triples: DataFrame,
+    patterns: list[Pattern],
+    weight: dict[str, float],
+    prune: bool,
+    stepwise: bool,
 ) -> DataFrame:
     steps = join_order(patterns, weight)
     scans = {p: scan_pattern(triples, p) for p in patterns}
@@ -201,6 +206,8 @@ def _match_connected(
         scans = _without_dead_ends(scans, [p for step in steps for p in step])
     bindings = scans[steps[0][0]]
     for step in steps[1:]:
+        if stepwise:
+            bindings = cut(bindings)
         # A pattern whose columns are all bound only filters, as triples are a set. As an inner join
         # Spark may also broadcast a small binding table instead of shuffling the scan.
         if len(step) == 1:
@@ -215,6 +222,7 @@ def match_components(
     patterns: list[Pattern],
     weights: DataFrame | None = None,
     prune: bool = False,
+    stepwise: bool = False,
 ) -> list[DataFrame]:
     """Solutions of the patterns, one binding table per connected part.
 
@@ -232,7 +240,8 @@ def match_components(
     tables = []
     for part in _components(linked):
         names = list(dict.fromkeys(v for p in part for v in pattern_vars(p)))
-        tables.append(_match_connected(triples, part, weight, prune).select(*names))
+        found = _match_connected(triples, part, weight, prune, stepwise)
+        tables.append(found.select(*names))
     if not tables:
         tables = [triples.sparkSession.range(1).select()]
     for pattern in ground:
@@ -246,6 +255,7 @@ def match_bgp(
     weights: DataFrame | None = None,
     keep_constants: bool = False,
     prune: bool = False,
+    stepwise: bool = False,
 ) -> DataFrame:
     """All solutions of a connected set of triple patterns, one column per variable.
 
@@ -253,8 +263,10 @@ def match_bgp(
     for each constant end of an edge pattern, named after it, in first-seen order. ``prune`` first
     drops the triples that no later pattern can continue; for patterns without cycles every
     intermediate row then leads to a solution, which pays where many edges of hot nodes lead nowhere.
+    ``stepwise`` writes the binding table out before each join, so that its true size decides how the
+    join runs: a query held by a constant then scans large predicates without shuffling them.
     """
-    tables = match_components(triples, patterns, weights, prune)
+    tables = match_components(triples, patterns, weights, prune, stepwise)
     if len(tables) > 1:
         raise ValueError(
             "the patterns fall into parts without a shared variable: "
