@@ -23,6 +23,12 @@ def distinct_nodes(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("s", "o")).alias("node")).distinct()
 
 
+def graph_nodes(triples: DataFrame) -> DataFrame:
+    """Subjects and both ends of edges: the nodes of the graph without its literals and classes."""
+    ends = F.when(kind() == "object", F.array("s", "o")).otherwise(F.array("s"))
+    return triples.select(F.explode(ends).alias("node")).distinct()
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """Each ``(s, p, o)`` once."""
     return edges.dropDuplicates(["s", "p", "o"])
@@ -76,7 +82,7 @@ def object_vertices(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(objects, "node", "left_semi")
 
 
-def _numbered(nodes: DataFrame, start: int) -> DataFrame:
+def number_nodes(nodes: DataFrame, start: int = 0) -> DataFrame:
     """Dense ids in node order: a global sort over range partitions, numbered inside each one, plus
     the number of nodes in the partitions before. Place and partition are written out first, so that
     a lost executor cannot make the two disagree."""
@@ -103,7 +109,7 @@ def _numbered(nodes: DataFrame, start: int) -> DataFrame:
 
 def node_ids(triples: DataFrame, start: int = 0) -> DataFrame:
     """A dense id per node, in node order from ``start``, as ``DF(node, id)``."""
-    return _numbered(distinct_nodes(triples), start)
+    return number_nodes(distinct_nodes(triples), start)
 
 
 def next_free_id(dictionary: DataFrame, start: int = 0) -> int:
@@ -115,7 +121,7 @@ def next_free_id(dictionary: DataFrame, start: int = 0) -> int:
 def extend_node_ids(dictionary: DataFrame, triples: DataFrame) -> DataFrame:
     """Give ids to the nodes of ``triples`` the dictionary does not have, after its last id."""
     new = distinct_nodes(triples).join(dictionary, "node", "left_anti")
-    return dictionary.select("node", "id").unionByName(_numbered(new, next_free_id(dictionary)))
+    return dictionary.select("node", "id").unionByName(number_nodes(new, next_free_id(dictionary)))
 
 
 def encode_edges(edges: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -266,6 +266,20 @@ def encoded_edges(spark, sf_dir):
     return nodes.encoded_edges(view, nodes.node_ids(view))
 
 
+def graph_vertices(spark, sf_dir):
+    """The vertex lines of the graph loader: no literals or classes, ids from one."""
+    view = _view(spark, sf_dir)
+    dictionary = nodes.number_nodes(nodes.graph_nodes(view), start=1)
+    return text.vertex_lines(nodes.encoded_vertices(view, dictionary))
+
+
+def graph_edges(spark, sf_dir):
+    """The edge lines that go with ``graph_vertices``."""
+    view = _view(spark, sf_dir)
+    dictionary = nodes.number_nodes(nodes.graph_nodes(view), start=1)
+    return text.edge_lines(nodes.encoded_edges(view, dictionary))
+
+
 # --- inference ---------------------------------------------------------------------------------
 
 
@@ -424,6 +438,8 @@ def queries() -> dict[str, Query]:
         "extend_node_ids": extend_node_ids,
         "encoded_vertices": encoded_vertices,
         "encoded_edges": encoded_edges,
+        "graph_vertices": graph_vertices,
+        "graph_edges": graph_edges,
         "infer_types": infer_types,
         "infer_predicates": infer_predicates,
         "materialize": materialize,

@@ -42,6 +42,8 @@ EDGES = f"""edges AS (SELECT s, p, o FROM triples WHERE o NOT LIKE '"%' AND p <>
 PROPS = f"""props AS (SELECT s AS node, p, o FROM triples WHERE o LIKE '"%' OR p = '{TYPE}')"""
 NODES = "nodes AS (SELECT s AS node FROM triples UNION SELECT o FROM triples)"
 IDS = "ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM nodes)"
+GRAPH_NODES = "nodes AS (SELECT s AS node FROM triples UNION SELECT o FROM edges)"
+IDS_FROM_ONE = "ids AS (SELECT node, row_number() OVER (ORDER BY node) AS id FROM nodes)"
 DERIVED = f"""derived AS (
 SELECT '<customer/'||c_custkey||'>' AS s, '{TYPE}' AS p, '<Party>' AS o FROM customer
 UNION ALL SELECT '<supplier/'||s_suppkey||'>', '{TYPE}', '<Party>' FROM supplier
@@ -143,6 +145,14 @@ def _order_of_customer(key: int) -> str:
     return f"SELECT '<order/'||o_orderkey||'>' AS x FROM orders WHERE o_custkey = {key}"
 
 
+VERTEX_LINES = (
+    "SELECT concat_ws(' ', id, node, string_agg(p||'##PropObj##'||o, ' ' ORDER BY p, o)) AS line "
+    "FROM ids LEFT JOIN props USING (node) GROUP BY id, node"
+)
+EDGE_LINES = (
+    "SELECT a.id||' '||b.id||' '||p AS line FROM edges "
+    "JOIN ids a ON a.node = s JOIN ids b ON b.node = o"
+)
 URGENT_FILLED = (
     "SELECT '<order/'||o_orderkey||'>' AS node FROM orders "
     "WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
@@ -160,16 +170,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT p, CAST(count(*) AS DOUBLE) AS weight FROM triples GROUP BY p"
         ),
         "write_triples": _of_triples("SELECT s||' '||p||' '||o||' .' AS line FROM triples"),
-        "vertex_lines": _of_triples(
-            "SELECT concat_ws(' ', id, node, string_agg(p||'##PropObj##'||o, ' ' ORDER BY p, o)) AS line "
-            "FROM ids LEFT JOIN props USING (node) GROUP BY id, node",
-            NODES, IDS, PROPS,
-        ),
-        "edge_lines": _of_triples(
-            "SELECT a.id||' '||b.id||' '||p AS line FROM edges "
-            "JOIN ids a ON a.node = s JOIN ids b ON b.node = o",
-            EDGES, NODES, IDS,
-        ),
+        "vertex_lines": _of_triples(VERTEX_LINES, NODES, IDS, PROPS),
+        "edge_lines": _of_triples(EDGE_LINES, EDGES, NODES, IDS),
         "solution_lines": f"SELECT '###'||ord||' '||part||' '||sup||' ' AS line FROM ({TRIANGLE})",
         "classify_triples": _of_triples(
             f"""SELECT s, p, o, CASE WHEN o LIKE '"%' THEN 'literal' WHEN p = '{TYPE}' THEN 'type'
@@ -284,6 +286,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT a.id AS src, p, b.id AS dst FROM edges JOIN ids a ON a.node = s JOIN ids b ON b.node = o",
             EDGES, NODES, IDS,
         ),
+        "graph_vertices": _of_triples(VERTEX_LINES, EDGES, GRAPH_NODES, IDS_FROM_ONE, PROPS),
+        "graph_edges": _of_triples(EDGE_LINES, EDGES, GRAPH_NODES, IDS_FROM_ONE),
         "infer_types": f"SELECT s, p, o FROM (WITH {DERIVED} SELECT * FROM derived) WHERE p = '{TYPE}'",
         "infer_predicates": f"SELECT s, p, o FROM (WITH {DERIVED} SELECT * FROM derived) "
         "WHERE p = '<locatedIn>'",
