@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import quality, urls
+from tripleweave.llm import decontaminate, quality, simhash, urls
 from tripleweave.session import tune
 
 
@@ -28,6 +28,25 @@ def op3_quality_ledger(spark, sf_dir):
     )
 
 
+def op7_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(_table(tune(spark), sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op8_decontamination(spark, sf_dir):
+    found = decontaminate.scan(_table(tune(spark), sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_url_templates(spark, sf_dir):
     """A page is labelled by the document whose number ends its path, as ``labels`` has it."""
     pages = _table(tune(spark), sf_dir, "pages").select("page_id", "url")
@@ -41,5 +60,5 @@ def op9_url_templates(spark, sf_dir):
 
 def queries():
     """Every query of the package by name."""
-    found = [op3_quality_ledger, op9_url_templates]
+    found = [op3_quality_ledger, op7_simhash, op8_decontamination, op9_url_templates]
     return {f.__name__: f for f in found}

@@ -27,6 +27,28 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
+OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+bw AS (SELECT item_id, least(len(ws), 10) AS k, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p
+  FROM b WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS w FROM bw),
+sizes AS (SELECT DISTINCT k FROM windows),
+dw AS (SELECT r, k, ws, unnest(range(1, len(ws) - k + 2)) AS p FROM d, sizes WHERE len(ws) >= k),
+found AS (SELECT r, p, k, item_id FROM (SELECT r, k, p, array_to_string(ws[p:p + k - 1], ' ') AS w FROM dw)
+  JOIN windows USING (k, w)),
+hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM found) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
 OP9 = r"""
 WITH a AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://')
     THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -79,4 +101,4 @@ LEFT JOIN bad ON bad.host = placed.host AND bad.branch = placed.branch
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_ledger": OP3, "op9_url_templates": OP9}
+    return {"op3_quality_ledger": OP3, "op8_decontamination": OP8, "op9_url_templates": OP9}
