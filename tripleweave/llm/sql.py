@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>|/?SYS>>|pad>|unk>|mask>)', '\1\\\2\3', 'g')
+    AS escaped, regexp_replace(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>|/?SYS>>|pad>|unk>|mask>)',
+    '\1\\\2\3', 'g'), '(\|)(\\*)(>)', '\1\\\2\3', 'g') AS escaped_role FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256, sum(length(escaped) + length(escaped_role) + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text,
@@ -101,4 +115,4 @@ LEFT JOIN bad ON bad.host = placed.host AND bad.branch = placed.branch
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_ledger": OP3, "op8_decontamination": OP8, "op9_url_templates": OP9}
+    return {"op2_chat_prefix_tree": OP2, "op3_quality_ledger": OP3, "op8_decontamination": OP8, "op9_url_templates": OP9}
