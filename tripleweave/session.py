@@ -60,3 +60,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table written by ``cut`` that nothing will read again, and free what led to it.
+
+    Spark deletes a finished job's shuffle files once the driver has collected the frames they belong to,
+    which a long job on a large heap may otherwise never do.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    jvm.System.gc()
