@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import chat_tree, decontaminate, quality, simhash, urls
+from tripleweave.llm import chat_tree, decontaminate, quality, simhash, suffix_dedup, urls
 from tripleweave.session import tune
 
 
@@ -49,6 +49,10 @@ def op3_quality_ledger(spark, sf_dir):
     )
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.scan(_table(tune(spark), sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_table(tune(spark), sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -81,5 +85,5 @@ def op9_url_templates(spark, sf_dir):
 
 def queries():
     """Every query of the package by name."""
-    found = [op2_chat_prefix_tree, op3_quality_ledger, op7_simhash, op8_decontamination, op9_url_templates]
+    found = [op2_chat_prefix_tree, op3_quality_ledger, op5_suffix_dedup, op7_simhash, op8_decontamination, op9_url_templates]
     return {f.__name__: f for f in found}
