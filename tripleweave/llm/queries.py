@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.llm import chat_tree, decontaminate, quality, simhash, suffix_dedup, urls
+from tripleweave.llm import (
+    chat_tree,
+    decontaminate,
+    licenses,
+    pieces,
+    quality,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    urls,
+    warc,
+)
 from tripleweave.session import tune
 
 
@@ -13,6 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark, sf_dir):
+    pages = _table(tune(spark), sf_dir, "pages").select("page_id", "url", "html")
+    records = warc.derive(warc.responses(pages))
+    return records.select(*(c for c in records.columns if c != "block"), F.col("block").cast("string").alias("content"))
+
+
 #: A conversation of control strings that every format must survive.
 HOSTILE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -49,10 +66,31 @@ def op3_quality_ledger(spark, sf_dir):
     )
 
 
+def op4_license_rules(spark, sf_dir):
+    """Licences with their first places, and the identifiers in order, as text."""
+    found = licenses.recognise(_table(tune(spark), sf_dir, "documents"))
+    one = lambda x: F.concat_ws(":", x["license"], x["first_place"], x["n_places"])
+    hit = lambda x: F.concat_ws(":", x["place"], x["sentence"])
+    return found.select(
+        "doc_id",
+        "n_sentences",
+        F.array_join(F.transform("hits", hit), ",").alias("sentences"),
+        F.array_join(F.transform("licenses", one), ",").alias("licenses"),
+    )
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.scan(_table(tune(spark), sf_dir, "documents"))
 
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark, sf_dir, model_path=MODEL):
+    encoded = pieces.encode(_table(tune(spark), sf_dir, "documents"), model_path)
+    return encoded.withColumn("n_ids", F.size("ids").cast("bigint"))
+
+
 def op7_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_table(tune(spark), sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -83,7 +121,29 @@ def op9_url_templates(spark, sf_dir):
     return urls.judge(pages, labels)
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = _table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.with_score(docs, labels).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries():
     """Every query of the package by name."""
-    found = [op2_chat_prefix_tree, op3_quality_ledger, op5_suffix_dedup, op7_simhash, op8_decontamination, op9_url_templates]
+    found = [
+        op1_warc_derivatives,
+        op2_chat_prefix_tree,
+        op3_quality_ledger,
+        op4_license_rules,
+        op5_suffix_dedup,
+        op6_sentencepiece,
+        op7_simhash,
+        op8_decontamination,
+        op9_url_templates,
+        op10_toxicity,
+    ]
     return {f.__name__: f for f in found}

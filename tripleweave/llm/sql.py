@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+from tripleweave.llm.licenses import GAP, RULES, SENTENCES
+
+OP1 = r"""
+WITH a AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl FROM pages),
+b AS (SELECT *, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: '
+    || octet_length(encode(html)) || nl || nl || html AS block FROM a),
+c AS (SELECT *, 'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(html) AS payload_digest,
+    md5('response' || length(coalesce(page_id::VARCHAR, '')) || ':' || coalesce(page_id::VARCHAR, '')
+      || length(coalesce(url, '')) || ':' || coalesce(url, '') || '64:' || sha256(block)) AS h FROM b),
+d AS (SELECT *, '<urn:uuid:' || regexp_replace(h, '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', '\1-\2-5\3-8\4-\5')
+    || '>' AS id FROM c),
+e AS (SELECT *, regexp_replace(regexp_replace(translate(regexp_replace(html,
+      '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<nav\b.*?</nav>', ' ', 'g'),
+      chr(13) || chr(10) || chr(9) || chr(11) || chr(12), '     '),
+      '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|main|body|html)\b[^>]*>',
+      chr(10), 'g'), '<[^>]*>', '', 'g') AS raw,
+    regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) AS title,
+    regexp_extract(html, '(?is)<html\b[^>]*\blang="([^"]*)"', 1) AS lang,
+    regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1) AS links,
+    md5('conversion' || length(id) || ':' || id) AS ch, md5('metadata' || length(id) || ':' || id) AS mh FROM d),
+f AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(raw,
+      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
+      ' +', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text,
+    '<urn:uuid:' || regexp_replace(ch, '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', '\1-\2-5\3-8\4-\5') || '>' AS cid,
+    '<urn:uuid:' || regexp_replace(mh, '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', '\1-\2-5\3-8\4-\5') || '>' AS mid
+  FROM e),
+g AS (SELECT *, 'http-status: 200' || nl || 'http-content-type: text/html; charset=utf-8' || nl
+      || 'source-block-digest: ' || block_digest || nl || 'source-payload-digest: ' || payload_digest || nl
+      || CASE WHEN trim(title) <> '' THEN 'title: ' || regexp_replace(trim(title), '[\r\n]+', ' ', 'g') || nl ELSE '' END
+      || CASE WHEN lang <> '' THEN 'language: ' || regexp_replace(lang, '[\r\n]+', ' ', 'g') || nl ELSE '' END
+      || coalesce(array_to_string(list_transform(links,
+        lambda x: 'outlink: ' || regexp_replace(x, '[\r\n]+', ' ', 'g') || nl), ''), '') AS about FROM f),
+r AS (SELECT cid AS record_id, 'conversion' AS type, url AS uri, 'text/plain; charset=utf-8' AS content_type,
+    id AS refers_to, NULL AS concurrent_to, text AS content FROM g
+  UNION ALL SELECT mid, 'metadata', url, 'application/warc-fields', id, cid, about FROM g)
+SELECT *, '2024-01-01T00:00:00Z' AS date, 'sha256:' || sha256(content) AS block_digest,
+  NULL::VARCHAR AS payload_digest FROM r
+"""
+
 OP2 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -41,6 +80,39 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
+
+def _values(rows) -> str:
+    quoted = lambda x: "'" + x + "'" if isinstance(x, str) else str(x)
+    return ", ".join(f"({', '.join(map(quoted, row))})" for row in rows)
+
+
+STEPS = [(i, licence, k, name) for i, (licence, names) in enumerate(RULES) for k, name in enumerate(names)]
+OP4 = rf"""
+WITH RECURSIVE known(name, said) AS (VALUES {_values(SENTENCES.items())}),
+steps(rule, license, k, name) AS (VALUES {_values(STEPS)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(coalesce(text, ''),
+    '(?:[.!?;]+[\x20\x09-\x0D]+|\n)') AS parts FROM documents),
+s AS (SELECT r, doc_id, list_transform(parts, lambda x: trim(regexp_replace(translate(x,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+', ' ', 'g'))) AS said FROM d),
+u AS (SELECT r, unnest(said) AS said, generate_subscripts(said, 1) - 1 AS place FROM s),
+hits AS (SELECT r, place, name FROM u JOIN known USING (said)),
+f(r, rule, k, first, last) AS (
+  SELECT r, rule, k, place, place FROM hits JOIN steps USING (name) WHERE k = 0
+  UNION ALL SELECT r, rule, k, first, last FROM (
+    SELECT f.r, f.rule, steps.k, f.first, min(place) AS last FROM f
+    JOIN steps ON steps.rule = f.rule AND steps.k = f.k + 1
+    JOIN hits ON hits.r = f.r AND hits.name = steps.name AND place > f.last AND place <= f.last + {GAP} + 1
+    GROUP BY f.r, f.rule, steps.k, f.first)),
+ends AS (SELECT rule, license, max(k) AS k FROM steps GROUP BY rule, license),
+l AS (SELECT r, license, min(first) AS place, count(DISTINCT first) AS n FROM f JOIN ends USING (rule, k)
+  GROUP BY r, license),
+h AS (SELECT r, string_agg(place || ':' || name, ',' ORDER BY place) AS t FROM hits GROUP BY r),
+m AS (SELECT r, string_agg(license || ':' || place || ':' || n, ',' ORDER BY place, license) AS t FROM l GROUP BY r)
+SELECT doc_id, len(list_filter(said, lambda x: x <> ''))::BIGINT AS n_sentences,
+  coalesce(h.t, '') AS sentences, coalesce(m.t, '') AS licenses
+FROM s LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+"""
+
 OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -115,4 +187,11 @@ LEFT JOIN bad ON bad.host = placed.host AND bad.branch = placed.branch
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_prefix_tree": OP2, "op3_quality_ledger": OP3, "op8_decontamination": OP8, "op9_url_templates": OP9}
+    return {
+        "op1_warc_derivatives": OP1,
+        "op2_chat_prefix_tree": OP2,
+        "op3_quality_ledger": OP3,
+        "op4_license_rules": OP4,
+        "op8_decontamination": OP8,
+        "op9_url_templates": OP9,
+    }
