@@ -30,10 +30,10 @@ f AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(repla
   FROM e),
 g AS (SELECT *, 'http-status: 200' || nl || 'http-content-type: text/html; charset=utf-8' || nl
       || 'source-block-digest: ' || block_digest || nl || 'source-payload-digest: ' || payload_digest || nl
-      || CASE WHEN trim(title) <> '' THEN 'title: ' || regexp_replace(trim(title), '[\r\n]+', ' ', 'g') || nl ELSE '' END
-      || CASE WHEN lang <> '' THEN 'language: ' || regexp_replace(lang, '[\r\n]+', ' ', 'g') || nl ELSE '' END
+      || CASE WHEN trim(title) <> '' THEN 'title: ' || regexp_replace(trim(title), ' *[\r\n]+ *', ' ', 'g') || nl ELSE '' END
+      || CASE WHEN lang <> '' THEN 'language: ' || regexp_replace(lang, ' *[\r\n]+ *', ' ', 'g') || nl ELSE '' END
       || coalesce(array_to_string(list_transform(links,
-        lambda x: 'outlink: ' || regexp_replace(x, '[\r\n]+', ' ', 'g') || nl), ''), '') AS about FROM f),
+        lambda x: 'outlink: ' || regexp_replace(x, ' *[\r\n]+ *', ' ', 'g') || nl), ''), '') AS about FROM f),
 r AS (SELECT cid AS record_id, 'conversion' AS type, url AS uri, 'text/plain; charset=utf-8' AS content_type,
     id AS refers_to, NULL AS concurrent_to, text AS content FROM g
   UNION ALL SELECT mid, 'metadata', url, 'application/warc-fields', id, cid, about FROM g)

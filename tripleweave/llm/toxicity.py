@@ -33,9 +33,11 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 1 << 15
 MIN_DOCS = 8
-DROPOUT, DECAY = 0.3, 0.02
+DROPOUT, DECAY = 0.5, 0.05
 MAX_TOXIC, MAX_CLEAN = 1500, 2500
 EPOCHS, BATCH, RATE = 10, 256, 0.01
+MIN_STEPS, MAX_EPOCHS = 600, 30  # small samples take smaller batches and more epochs
+PATIENCE = 4  # epochs without a better ranking of the held-back documents before training ends
 THRESHOLD = 0.3
 F32 = np.float32
 #: ASCII that is no letter or digit separates words, A-Z is lower-cased, all other bytes stay.
@@ -125,11 +127,11 @@ def window_rows(ids: list[np.ndarray], padding: int) -> tuple[np.ndarray, np.nda
     return (np.concatenate(blocks) if blocks else np.empty((0, WINDOW), np.int32)), counts
 
 
-def _epoch(model: Model, optimizer: gru.Adam, words: list[bytes], rows: np.ndarray, labels: np.ndarray, rng) -> None:
+def _epoch(model: Model, optimizer: gru.Adam, words: list[bytes], rows, labels, batch: int, rng) -> None:
     """One pass of gradient steps over windows, given as rows of word numbers."""
     p, padding = model.p, len(words)
-    for k in range(0, len(rows), BATCH):
-        at, y = rows[k : k + BATCH].T, labels[k : k + BATCH]
+    for k in range(0, len(rows), batch):
+        at, y = rows[k : k + batch].T, labels[k : k + batch]
         own, place = np.unique(at, return_inverse=True)
         place = place.reshape(at.shape)
         real = own[own < padding]
@@ -180,6 +182,20 @@ def _calibrate(model: Model, logits: np.ndarray, labels: np.ndarray) -> None:
         model.slope, model.offset = float(w[0]), float(w[1])
 
 
+def _highest(model: Model, docs: list[list[bytes]]) -> np.ndarray:
+    logits, counts = model.logits(docs)
+    return np.maximum.reduceat(logits, np.cumsum(counts) - counts)
+
+
+def _ranking(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The share of pairs of a toxic and a clean document that are in the right order."""
+    toxic, clean = logits[labels == 1], np.sort(logits[labels == 0])
+    if not len(toxic) or not len(clean):
+        return 0.0
+    below = np.searchsorted(clean, toxic, "left") + np.searchsorted(clean, toxic, "right")
+    return float(below.mean() / 2 / len(clean))
+
+
 def _log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
     """Smoothed log odds of documents with a feature, between -1 and 1."""
     odds = np.log((toxic + 2) / (n_toxic + 4)) - np.log((clean + 2 * n_clean / n_toxic) / (n_clean + 4 * n_clean / n_toxic))
@@ -223,7 +239,11 @@ def fit(docs: list[list[bytes]], labels: np.ndarray, seed: int = 0) -> Model | N
     optimizer = gru.Adam(model.p, RATE)
     weight = max(1, int(round((len(y) - y.sum()) / max(1, y.sum()) / 2)))
     best = begins + (rng.random(len(y)) * counts).astype(np.int64)
-    for epoch in range(EPOCHS):
+    size = int((y == 0).sum()) * 4
+    batch = int(np.clip(size // 25, 32, BATCH))
+    epochs = int(np.clip(MIN_STEPS * batch // max(1, size), EPOCHS, MAX_EPOCHS))
+    kept: tuple = (-1.0, epochs, None)
+    for epoch in range(epochs):
         if epoch >= 2:
             logits = np.concatenate([model.logits([docs[d] for d in used[k : k + 500]])[0] for k in range(0, len(used), 500)])
             best = np.array([b + int(np.argmax(logits[b : b + n])) for b, n in zip(begins, counts)])
@@ -236,10 +256,15 @@ def fit(docs: list[list[bytes]], labels: np.ndarray, seed: int = 0) -> Model | N
         at = np.concatenate([toxic, best[clean], *(c[clean] for c in chance)])
         target = np.concatenate([np.ones(len(toxic)), np.zeros(len(at) - len(toxic))])
         mixed = rng.permutation(len(at))
-        optimizer.rate = RATE * (1 if epoch < EPOCHS - 3 else 0.3)
-        _epoch(model, optimizer, words, rows[at[mixed]], target[mixed], rng)
-    logits, n = model.logits([docs[d] for d in back])
-    _calibrate(model, np.maximum.reduceat(logits, np.cumsum(n) - n), labels[back])
+        _epoch(model, optimizer, words, rows[at[mixed]], target[mixed], batch, rng)
+        if epoch >= 2:
+            quality = _ranking(_highest(model, [docs[d] for d in back]), labels[back])
+            if quality > kept[0]:
+                kept = quality, epoch, {k: v.copy() for k, v in model.p.items()}
+            if epoch - kept[1] >= PATIENCE or quality == 1 and epoch >= EPOCHS // 2:
+                break
+    model.p = kept[2] or model.p
+    _calibrate(model, _highest(model, [docs[d] for d in back]), labels[back])
     return model
 
 

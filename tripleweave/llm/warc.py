@@ -119,7 +119,7 @@ def derive(records: DataFrame) -> DataFrame:
         "block", F.col("text").cast("binary")
     )
     line = lambda name, value: F.when(
-        value != "", F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit(CRLF))
+        value != "", F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r" *[\r\n]+ *", " "), F.lit(CRLF))
     )
     about = F.concat_ws(
         "",
@@ -131,7 +131,7 @@ def derive(records: DataFrame) -> DataFrame:
         line("source-payload-digest", F.col("payload_digest")),
         line("title", F.trim("title")),
         line("language", F.col("lang")),
-        F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"[\r\n]+", " "), F.lit(CRLF))), ""),
+        F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r" *[\r\n]+ *", " "), F.lit(CRLF))), ""),
     )
     kinds = F.array(
         F.struct(
@@ -172,7 +172,7 @@ def _utf8(data: Column) -> Column:
 def serialise(records: DataFrame) -> DataFrame:
     """``(record_id, record)``: every record as the bytes of a WARC file, ready to be joined in any order."""
     named = (
-        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}: "), F.regexp_replace(c, r"[\r\n]+", " "), F.lit(CRLF)))
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}: "), F.regexp_replace(c, r" *[\r\n]+ *", " "), F.lit(CRLF)))
         for c, n in FIELDS.items()
     )
     length = F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit(CRLF + CRLF))
