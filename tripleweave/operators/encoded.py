@@ -19,10 +19,14 @@ UNKNOWN = -1
 
 
 def encode_triples(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """All triples over ids, as ``DF(s bigint, p string, o bigint)``; the dictionary has every node."""
+    """All triples over ids, as ``DF(s bigint, p string, o bigint)``.
+
+    A term the dictionary does not have becomes null, which no pattern binds: make the dictionary from the
+    triples (``node_ids``) or extend it by them first.
+    """
     source = dictionary.select(F.col("node").alias("s"), F.col("id").alias("s_id"))
     target = dictionary.select(F.col("node").alias("o"), F.col("id").alias("o_id"))
-    return skew_join(skew_join(triples, source, ["s"]), target, ["o"]).select(
+    return skew_join(skew_join(triples, source, ["s"], "left"), target, ["o"], "left").select(
         F.col("s_id").alias("s"), "p", F.col("o_id").alias("o")
     )
 

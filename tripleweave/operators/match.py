@@ -193,14 +193,22 @@ def _without_dead_ends(
     return scans
 
 
+def _held_by_constant(pattern: Pattern) -> bool:
+    """Whether a pattern names one of its ends; a class does not count, it may hold most nodes."""
+    s, p, o = pattern
+    return not is_var(s) or (not is_var(o) and p != RDF_TYPE)
+
+
 def _match_connected(
     triples: DataFrame,
     patterns: list[Pattern],
     weight: dict[str, float],
     prune: bool,
-    stepwise: bool,
+    stepwise: bool | None,
 ) -> DataFrame:
     steps = join_order(patterns, weight)
+    if stepwise is None:
+        stepwise = _held_by_constant(steps[0][0])
     scans = {p: scan_pattern(triples, p) for p in patterns}
     if prune:
         scans = _without_dead_ends(scans, [p for step in steps for p in step])
@@ -222,7 +230,7 @@ def match_components(
     patterns: list[Pattern],
     weights: DataFrame | None = None,
     prune: bool = False,
-    stepwise: bool = False,
+    stepwise: bool | None = None,
 ) -> list[DataFrame]:
     """Solutions of the patterns, one binding table per connected part.
 
@@ -255,7 +263,7 @@ def match_bgp(
     weights: DataFrame | None = None,
     keep_constants: bool = False,
     prune: bool = False,
-    stepwise: bool = False,
+    stepwise: bool | None = None,
 ) -> DataFrame:
     """All solutions of a connected set of triple patterns, one column per variable.
 
@@ -264,7 +272,8 @@ def match_bgp(
     drops the triples that no later pattern can continue; for patterns without cycles every
     intermediate row then leads to a solution, which pays where many edges of hot nodes lead nowhere.
     ``stepwise`` writes the binding table out before each join, so that its true size decides how the
-    join runs: a query held by a constant then scans large predicates without shuffling them.
+    join runs. By default that is done where the first pattern names one of its ends: what follows from
+    a constant is often small, and then large predicates are scanned without being shuffled.
     """
     tables = match_components(triples, patterns, weights, prune, stepwise)
     if len(tables) > 1:

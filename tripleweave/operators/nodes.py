@@ -82,31 +82,36 @@ def object_vertices(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(objects, "node", "left_semi")
 
 
-def number_nodes(nodes: DataFrame, start: int = 0) -> DataFrame:
-    """Dense ids in node order: a global sort over range partitions, numbered inside each one, plus
-    the number of nodes in the partitions before. Place and partition are written out first, so that
-    a lost executor cannot make the two disagree."""
+def number_rows(rows: DataFrame, columns: list[str], start: int = 0) -> DataFrame:
+    """``rows`` with a dense ``id`` in the order of ``columns``: a global sort over range partitions,
+    numbered inside each one, plus the number of rows in the partitions before. Place and partition are
+    written out first, so that a lost executor cannot make the two disagree."""
     placed = cut(
-        nodes.repartitionByRange("node")
-        .sortWithinPartitions("node")
+        rows.repartitionByRange(*columns)
+        .sortWithinPartitions(*columns)
         .select(
-            "node",
-            F.spark_partition_id().alias("part"),
-            F.monotonically_increasing_id().bitwiseAND(PLACE_BITS).alias("place"),
+            "*",
+            F.spark_partition_id().alias("__part"),
+            F.monotonically_increasing_id().bitwiseAND(PLACE_BITS).alias("__place"),
         )
     )
-    # One row per partition, whatever the number of nodes.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition, whatever the number of rows.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("part")
+        placed.groupBy("__part")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        .select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
     )
-    return placed.join(F.broadcast(offsets), "part").select(
-        "node", (F.col("place") + F.col("offset") + F.lit(start)).alias("id")
+    return placed.join(F.broadcast(offsets), "__part").select(
+        *rows.columns, (F.col("__place") + F.col("__offset") + F.lit(start)).alias("id")
     )
 
 
+def number_nodes(nodes: DataFrame, start: int = 0) -> DataFrame:
+    """Dense ids in node order, as ``DF(node, id)``."""
+    return number_rows(nodes.select("node"), ["node"], start)
+
+
 def node_ids(triples: DataFrame, start: int = 0) -> DataFrame:
     """A dense id per node, in node order from ``start``, as ``DF(node, id)``."""
     return number_nodes(distinct_nodes(triples), start)
@@ -125,10 +130,10 @@ def extend_node_ids(dictionary: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def encode_edges(edges: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Replace both ends by their ids, as ``DF(src, p, dst)``; edges with an unknown end drop out."""
+    """Replace both ends by their ids, as ``DF(src, p, dst)``; an end the dictionary does not have is null."""
     source = dictionary.select(F.col("node").alias("s"), F.col("id").alias("src"))
     target = dictionary.select(F.col("node").alias("o"), F.col("id").alias("dst"))
-    return skew_join(skew_join(edges, source, ["s"]), target, ["o"]).select("src", "p", "dst")
+    return skew_join(skew_join(edges, source, ["s"], "left"), target, ["o"], "left").select("src", "p", "dst")
 
 
 def encoded_edges(triples: DataFrame, dictionary: DataFrame) -> DataFrame:

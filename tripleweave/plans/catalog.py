@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tripleweave.functions.terms import RDF_TYPE, Pattern
 from tripleweave.operators import encoded, graph, inference, match, nodes, scans, stats
+from tripleweave.plans import jobs
 from tripleweave.plans.workload import CYCLE, W3, W8, W9, WORKLOAD
-from tripleweave.session import scratch_path, tune
+from tripleweave.session import literal_table, scratch_path, tune
 from tripleweave.sources import tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,34 @@ def read_triples(spark, sf_dir):
     return text.read_triples(spark, path)
 
 
+def _mixed_lines(spark, sf_dir):
+    """The view as lines, with lines made of the customers that are no triples, or are in spite of a comment."""
+    path = scratch_path(spark)
+    key = F.col("c_custkey").cast("string")
+    broken = [
+        F.concat(F.lit("<customer/"), key, F.lit('> <says> "one two three')),
+        F.concat(F.lit("<customer/"), key, F.lit("> <knows> <customer/1> <graph> .")),
+        F.concat(F.lit("# <customer/"), key, F.lit("> <knows> <customer/1> .")),
+        F.concat(F.lit("  <customer/"), key, F.lit("> <knows>")),
+        F.lit("   "),
+        F.concat(F.lit('<customer/1> <says> "'), key, F.lit('"@en and more .')),
+        F.concat(F.lit("<customer/1> <says> \"'"), key, F.lit("'\" . # say \"w\"")),
+        F.concat(F.lit("<customer/1> <knows> <customer/"), key, F.lit(">.")),
+    ]
+    customers = tables.table(spark, sf_dir, "customer").select(F.explode(F.array(*broken)).alias("line"))
+    text.triple_lines(_view(spark, sf_dir)).unionByName(customers).write.text(path)
+    return path
+
+
+def rejected_lines(spark, sf_dir):
+    return text.rejected_lines(spark, _mixed_lines(spark, sf_dir))
+
+
+def read_mixed(spark, sf_dir):
+    """What is read beside rejected lines; rejected and read lines together are all lines."""
+    return text.read_triples(spark, _mixed_lines(spark, sf_dir), distinct=False)
+
+
 def read_weights(spark, sf_dir):
     path = scratch_path(spark)
     text.weight_lines(stats.predicate_weights(_view(spark, sf_dir))).write.text(path)
@@ -77,6 +106,39 @@ def solution_lines(spark, sf_dir):
     return text.solution_lines(_bgp(spark, sf_dir, W9))
 
 
+# --- the jobs on text files ---------------------------------------------------------------------
+
+
+def _text(spark, sf_dir):
+    path = scratch_path(spark)
+    text.write_triples(_view(spark, sf_dir), path)
+    return path
+
+
+def answer_text(spark, sf_dir):
+    """Text and a file of weights in, solutions out."""
+    weights = scratch_path(spark)
+    text.weight_lines(stats.predicate_sizes(_view(spark, sf_dir))).write.text(weights)
+    return jobs.answer(spark, _text(spark, sf_dir), WEIGHTED, weights)
+
+
+def inferred_text(spark, sf_dir):
+    """Text in, text with all that follows out; read again without a set's comparison."""
+    target = scratch_path(spark)
+    jobs.add_inferred(spark, _text(spark, sf_dir), target, tables.rules(spark))
+    return text.read_triples(spark, target, distinct=False)
+
+
+def loaded_graph(spark, sf_dir):
+    """Text in, vertex and edge lines out, with the next free id on a line of its own."""
+    vertices, edges = scratch_path(spark), scratch_path(spark)
+    free = jobs.load_graph(spark, _text(spark, sf_dir), vertices, edges)
+    parts = [("vertex", spark.read.text(vertices)), ("edge", spark.read.text(edges))]
+    lines = [df.select(F.lit(kind).alias("kind"), F.col("value").alias("line")) for kind, df in parts]
+    last = literal_table(spark, [("next", str(free))], ["kind", "line"])
+    return lines[0].unionByName(lines[1]).unionByName(last)
+
+
 # --- projections, filters, predicates ----------------------------------------------------------
 
 
@@ -174,7 +236,7 @@ def encode_edges(spark, sf_dir):
 
 
 def match_weighted(spark, sf_dir):
-    weights = stats.predicate_weights(tables.triples_for(tune(spark), sf_dir, WEIGHTED))
+    weights = stats.predicate_sizes(tables.triples_for(tune(spark), sf_dir, WEIGHTED))
     return _bgp(spark, sf_dir, WEIGHTED, weights=weights)
 
 
@@ -308,7 +370,7 @@ def w3(spark, sf_dir):
 
 
 def _size_weights(spark, sf_dir):
-    return stats.predicate_weights(_edges(spark, sf_dir)).select("p", "weight")
+    return stats.predicate_sizes(_edges(spark, sf_dir))
 
 
 def _digit_weights(spark, sf_dir):
@@ -368,11 +430,16 @@ def queries() -> dict[str, Query]:
 
     return {
         "read_triples": read_triples,
+        "read_mixed": read_mixed,
+        "rejected_lines": rejected_lines,
         "read_weights": read_weights,
         "write_triples": write_triples,
         "vertex_lines": vertex_lines,
         "edge_lines": edge_lines,
         "solution_lines": solution_lines,
+        "answer_text": answer_text,
+        "inferred_text": inferred_text,
+        "loaded_graph": loaded_graph,
         "classify_triples": classify_triples,
         "object_edges": on_view(scans.object_edges),
         "edges_by_predicate": edges_by_predicate,

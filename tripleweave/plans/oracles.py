@@ -78,7 +78,8 @@ ways AS (SELECT s AS a, o AS b FROM edges UNION SELECT o, s FROM edges),
 walk(root, node, level) AS (
   SELECT DISTINCT a, a, 0 FROM ways WHERE a IN ('<region/1>', '<supplier/3>', '<customer/7>')
   UNION
-  SELECT root, b, level + 1 FROM walk JOIN ways ON a = node WHERE level < 8),
+  SELECT root, b, level + 1 FROM walk JOIN ways ON a = node
+    WHERE level < (SELECT count(DISTINCT a) FROM ways)),
 levels AS (SELECT root, node, min(level) AS level FROM walk GROUP BY root, node)"""
 LEVEL_WEIGHTS = f"""{LEVELS},
 weights AS (SELECT p, length(CAST(count(*) AS VARCHAR)) AS weight FROM edges GROUP BY p),
@@ -115,6 +116,33 @@ taken AS (SELECT p, n, CASE WHEN p = '<soldBy>' THEN n_parts + n0 - n1
   FROM sizes, parts, sold)
 SELECT p, n_tree, n - n_tree AS n_rest FROM taken"""
 
+# The rows of the same forest. Every part takes its first edge to a supplier; after that, and for the edges of
+# orders to suppliers, an edge counts as one between the regions of its ends, and of each pair of regions
+# only the first edge can be taken: the ten or fewer of either kind are tried in order on a list of labels.
+FOREST_ROWS = f"""WITH RECURSIVE {TRIPLES}, {EDGES},
+home AS (SELECT '<supplier/'||s_suppkey||'>' AS o, n_regionkey AS r FROM supplier
+  JOIN nation ON s_nationkey = n_nationkey),
+buyer AS (SELECT '<order/'||o_orderkey||'>' AS s, n_regionkey AS r FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey),
+first_sold AS (SELECT s, min(o) AS o FROM edges WHERE p = '<soldBy>' GROUP BY s),
+part AS (SELECT f.s, f.o, r FROM first_sold f JOIN home USING (o)),
+bridges AS (
+  SELECT 1 AS phase, e.s, e.p, e.o, part.r AS a, home.r AS b FROM edges e JOIN part ON part.s = e.s
+    JOIN home ON home.o = e.o WHERE p = '<soldBy>' AND part.r <> home.r
+  UNION ALL SELECT 2, e.s, e.p, e.o, buyer.r, home.r FROM edges e JOIN buyer ON buyer.s = e.s
+    JOIN home ON home.o = e.o WHERE p = '<suppliedBy>' AND buyer.r <> home.r),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phase, least(a, b), greatest(a, b) ORDER BY s, o) AS n
+  FROM bridges) WHERE n = 1),
+cand AS (SELECT *, row_number() OVER (ORDER BY phase, s, o) AS k FROM firsts),
+tried(k, labels, fresh) AS (SELECT CAST(0 AS BIGINT), (SELECT list(r ORDER BY r) FROM (SELECT unnest(range(max(r_regionkey) + 1)) AS r FROM region)), false
+  UNION ALL SELECT c.k, list_transform(labels, lambda x: CASE WHEN x = labels[c.a + 1] THEN labels[c.b + 1] ELSE x END),
+    labels[c.a + 1] <> labels[c.b + 1] FROM tried JOIN cand c ON c.k = tried.k + 1),
+weights AS (SELECT p, CAST(count(*) AS DOUBLE) AS weight FROM edges GROUP BY p),
+forest AS (
+  SELECT s, p, o FROM edges WHERE p IN ('<inRegion>', '<basedIn>', '<fromNation>', '<placedBy>')
+  UNION ALL SELECT s, '<soldBy>', o FROM first_sold
+  UNION ALL SELECT s, p, o FROM cand JOIN tried USING (k) WHERE fresh)"""
+
 
 def _university() -> str:
     classes = ", ".join(f"'<{PREFIX}{name}>'" for name in CLASS_SUPERS)
@@ -146,8 +174,7 @@ def _order_of_customer(key: int) -> str:
 
 
 VERTEX_LINES = (
-    "SELECT concat_ws(' ', id, node, string_agg(p||'##PropObj##'||o, ' ' ORDER BY p, o)) AS line "
-    "FROM ids LEFT JOIN props USING (node) GROUP BY id, node"
+    "SELECT concat_ws(' ', id, node, p||'##PropObj##'||o) AS line FROM ids LEFT JOIN props USING (node)"
 )
 EDGE_LINES = (
     "SELECT a.id||' '||b.id||' '||p AS line FROM edges "
@@ -169,6 +196,25 @@ def oracle_sql() -> dict[str, str]:
         "read_weights": _of_triples(
             "SELECT p, CAST(count(*) AS DOUBLE) AS weight FROM triples GROUP BY p"
         ),
+        "read_mixed": _of_triples(
+            "SELECT s, p, o FROM triples UNION ALL "
+            """SELECT '<customer/1>', '<says>', '"'||chr(39)||c_custkey||chr(39)||'"' FROM customer UNION ALL """
+            "SELECT '<customer/1>', '<knows>', '<customer/'||c_custkey||'>' FROM customer"
+        ),
+        "rejected_lines": """SELECT unnest(['<customer/'||c_custkey||'> <says> "one two three',
+            '<customer/'||c_custkey||'> <knows> <customer/1> <graph> .',
+            '# <customer/'||c_custkey||'> <knows> <customer/1> .', '  <customer/'||c_custkey||'> <knows>', '   ',
+            '<customer/1> <says> "'||c_custkey||'"@en and more .']) AS line FROM customer""",
+        "answer_text": REGION_SALES,
+        "inferred_text": _of_triples(
+            "SELECT s, p, o FROM triples UNION SELECT s, p, o FROM derived", DERIVED
+        ),
+        "loaded_graph": _of_triples(
+            f"SELECT 'vertex' AS kind, line FROM ({VERTEX_LINES}) UNION ALL "
+            f"SELECT 'edge', line FROM ({EDGE_LINES}) UNION ALL "
+            "SELECT 'next', CAST(max(id) + 1 AS VARCHAR) FROM ids",
+            EDGES, GRAPH_NODES, IDS_FROM_ONE, PROPS,
+        ),
         "write_triples": _of_triples("SELECT s||' '||p||' '||o||' .' AS line FROM triples"),
         "vertex_lines": _of_triples(VERTEX_LINES, NODES, IDS, PROPS),
         "edge_lines": _of_triples(EDGE_LINES, EDGES, NODES, IDS),
@@ -225,7 +271,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT node, id FROM ids WHERE node IN (SELECT o FROM triples)", NODES, IDS
         ),
         "encode_edges": _of_triples(
-            "SELECT a.id AS src, p, b.id AS dst FROM edges JOIN ids a ON a.node = s JOIN ids b ON b.node = o",
+            "SELECT a.id AS src, p, b.id AS dst FROM edges LEFT JOIN ids a ON a.node = s "
+            "LEFT JOIN ids b ON b.node = o",
             EDGES,
             "part_edges AS (SELECT s, o FROM edges WHERE p IN ('<contains>', '<placedBy>'))",
             "nodes AS (SELECT s AS node FROM part_edges UNION SELECT o FROM part_edges)",
@@ -295,6 +342,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT s, p, o FROM triples UNION SELECT s, p, o FROM derived", DERIVED
         ),
         "lubm_rules": _university(),
+        "min_spanning_forest": f"{FOREST_ROWS} SELECT s, p, o, weight FROM forest JOIN weights USING (p)",
+        "non_tree_edges": f"{FOREST_ROWS} SELECT s, p, o FROM edges EXCEPT SELECT s, p, o FROM forest",
         "forest_by_predicate": FOREST,
         "hop_levels": f"{LEVELS} SELECT root, node, level FROM levels",
         "level_weights": LEVEL_WEIGHTS,

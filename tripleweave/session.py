@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the joins rely on, all of them changeable while a session runs.
 JOIN_CONF = {
@@ -27,6 +28,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A few rows written out in the plan itself, so that their size is known when joins are planned."""
+    structs = [F.struct(*(F.lit(v).alias(c) for v, c in zip(row, columns))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
@@ -62,15 +69,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table written by ``cut`` that nothing will read again, and free what led to it.
+def discard(df: DataFrame, collect: bool = False) -> None:
+    """Delete a table written by ``cut`` that nothing will read again.
 
-    Spark deletes a finished job's shuffle files once the driver has collected the frames they belong to,
-    which a long job on a large heap may otherwise never do.
+    With ``collect`` the driver also collects its garbage. Spark deletes a finished job's shuffle files once
+    the frames they belong to are gone, which a long job on a large heap may otherwise never see.
     """
     spark = df.sparkSession
     jvm = spark._jvm
     for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    jvm.System.gc()
+    if collect:
+        jvm.System.gc()

@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleweave.session import literal_table
 from tripleweave.functions.terms import RDF_TYPE, Pattern, full_pattern, is_var
 from tripleweave.operators.inference import CLASS_SUPERS, PREFIX
 
@@ -155,8 +156,8 @@ PREDICATE_RULES = [("<fromNation>", "<locatedIn>"), ("<basedIn>", "<locatedIn>")
 
 def rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return (
-        spark.createDataFrame(CLASS_RULES, "cls string, super string"),
-        spark.createDataFrame(PREDICATE_RULES, "pred string, super string"),
+        literal_table(spark, CLASS_RULES, ["cls", "super"]),
+        literal_table(spark, PREDICATE_RULES, ["pred", "super"]),
     )
 
 
