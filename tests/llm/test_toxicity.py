@@ -7,7 +7,7 @@ import pytest
 
 from tripleweave.llm import gru, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_gradients(monkeypatch):
@@ -41,8 +41,8 @@ def test_windows_overlap_and_cover_all(n):
 
 
 def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(labels, "doc_id", "left_semi").select("doc_id", "text")
     rows = docs.join(labels, "doc_id").collect()
     frame = docs.selectExpr("*", "'x' AS score_of").unionByName(
         spark.createDataFrame([(None, None, None), (-1, "", ""), (-2, "a", ""), (5, "twice", "")], "doc_id bigint, text string, score_of string")
@@ -54,7 +54,7 @@ def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
     right = [(scores[r.doc_id] >= toxicity.THRESHOLD) == bool(r.toxic) for r in held]
     assert sum(right) / len(right) > 0.85
     pairs = [(scores[a.doc_id], scores[b.doc_id]) for a in held if a.toxic for b in held if not b.toxic]
-    assert sum(a > b for a, b in pairs) / len(pairs) > 0.8  # some 40 toxic documents to learn from
+    assert sum(a > b for a, b in pairs) / len(pairs) > 0.9
     kept = toxicity.reject(frame, labels)
     assert kept.columns == frame.columns
 

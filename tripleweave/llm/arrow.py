@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
+
+
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast that workers need not import this package to read; call the result in a task."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(shared.value)
 
 
 def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:

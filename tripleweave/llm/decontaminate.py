@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.arrow import raw_texts, replaced
+from tripleweave.llm.arrow import raw_texts, replaced, share
 from tripleweave.session import cut
 
 WINDOW = 10
@@ -210,11 +210,11 @@ def mark(
     """``docs`` with a struct of the word count, the runs of hit words (from, to, from, ...) and the items."""
     out, spark = docs, docs.sparkSession
     for k, automaton in enumerate(_blocks(benchmark, item_col, item_text_col, window)):
-        shared = spark.sparkContext.broadcast(automaton)
+        shared = share(spark, automaton)
         first = k == 0
 
         def run(batches, shared=shared, first=first):
-            automaton = shared.value
+            automaton = shared()
             for batch in batches:
                 before = [None] * batch.num_rows if first else batch.column(hit_col).to_pylist()
                 hits = []

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm import gru
-from tripleweave.llm.arrow import raw_texts, slices
+from tripleweave.llm.arrow import raw_texts, share, slices
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -285,21 +285,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(words, np.array([r.toxic for r in rows], float))
 
 
-def _scorer(model, text_col: str) -> Callable:
+def _scorer(model: Model | None, text_col: str) -> Callable[[pa.RecordBatch], pa.Array]:
     def score(batch: pa.RecordBatch) -> pa.Array:
-        if model.value is None:
+        if model is None:
             return pa.array(np.zeros(batch.num_rows))
-        return pa.array(model.value.scores([t.translate(WORDS).split() for t in raw_texts(batch, text_col)]), pa.float64())
+        return pa.array(model.scores([t.translate(WORDS).split() for t in raw_texts(batch, text_col)]), pa.float64())
 
     return score
 
 
 def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score"):
     """``docs`` with a score between 0 and 1; ``labels`` is ``(doc_id, toxic)``."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
-    score = _scorer(model, text_col)
+    shared = share(docs.sparkSession, train(docs, labels, id_col, text_col))
 
     def run(batches):
+        score = _scorer(shared(), text_col)
         for batch in slices(batches, text_col, 1 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, score(batch)], names=[*batch.schema.names, score_col])
 
