@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleweave.llm.arrow import map_batches
 from tripleweave.operators.joins import skew_join
 from tripleweave.session import cut
 
@@ -157,7 +158,7 @@ def _paths(conversations: DataFrame, ranks) -> DataFrame:
                     names=["conv", "path", "nodes"],
                 )
 
-    return conversations.mapInArrow(run, PATHS)
+    return map_batches(conversations, run, PATHS)
 
 
 LAID = (
@@ -242,7 +243,7 @@ def forest(turns: DataFrame, ranks) -> tuple[DataFrame, DataFrame]:
     paths = cut(_paths(_conversations(turns), ranks))
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = paths.repartitionByRange(count, "path", "conv").sortWithinPartitions("path", "conv")
-    laid = cut(ordered.mapInArrow(_lay_out, LAID))
+    laid = cut(map_batches(ordered, _lay_out, LAID))
     # One row per partition, with the path of one conversation.
     totals = laid.filter("kind = 'part'").select("part", "start", "path", "first_path", "stack", "spine")
     schema = "part int, shift bigint, removed bigint, carried array<bigint>"
@@ -305,4 +306,4 @@ def read_back(nodes: DataFrame, leaves: DataFrame, ranks) -> DataFrame:
     node = F.struct("depth", "tokens", "loss_from", "loss_to")
     whole = found.groupBy("conv").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
     schema = "conv bigint, formatted string, turns array<struct<role:string,text:string>>, loss string"
-    return whole.mapInArrow(run, schema)
+    return map_batches(whole, run, schema)

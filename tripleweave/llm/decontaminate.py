@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.arrow import raw_texts, replaced, share
+from tripleweave.llm.arrow import map_batches, raw_texts, replaced, share
 from tripleweave.session import cut
 
 WINDOW = 10
@@ -177,7 +177,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> It
             )
 
     items = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    cut_up = cut(items.mapInArrow(pieces, "id bigint, words array<binary>, short boolean, n bigint"))
+    cut_up = cut(map_batches(items, pieces, "id bigint, words array<binary>, short boolean, n bigint"))
     n_blocks = max(1, -(-(cut_up.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
     block = F.pmod(F.xxhash64("id", "words"), F.lit(n_blocks))
     for b in range(n_blocks):
@@ -234,7 +234,7 @@ def mark(
                 )
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        out = (out if first else cut(out)).mapInArrow(run, f"{fields}, `{hit_col}` {HIT}")
+        out = map_batches(out if first else cut(out), run, f"{fields}, `{hit_col}` {HIT}")
     return out
 
 
@@ -284,4 +284,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield replaced(left, new)
 
-    return mark(docs, benchmark, text_col=text_col, window=window).mapInArrow(run, docs.schema)
+    return map_batches(mark(docs, benchmark, text_col=text_col, window=window), run, docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.arrow import raw_texts
+from tripleweave.llm.arrow import map_batches, raw_texts
 from tripleweave.llm.components import components
 from tripleweave.operators.joins import skew_join
 from tripleweave.session import cut
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], names=["doc_id", "fp"])
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, fp bigint")
+    return map_batches(own, run, "doc_id bigint, fp bigint")
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -184,7 +184,7 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     ).select("table", "key", "s.*", "fp", "rep")
     keys = ["table", "key", "sub", "subkey"]
     grouped = spread.repartition(*keys).sortWithinPartitions(*keys, "rep")
-    return grouped.mapInArrow(lambda it: _forest(it, radius), "a bigint, b bigint")
+    return map_batches(grouped, lambda it: _forest(it, radius), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

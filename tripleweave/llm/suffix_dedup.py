@@ -35,13 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.arrow import raw_texts
+from tripleweave.llm.arrow import map_batches, map_groups, raw_texts
 from tripleweave.llm.suffixes import anchors, gather, span_hashes, window_minima
 from tripleweave.session import cut, discard
 
 LENGTH = 50
 BLOCK = 2 << 20
-BUCKET = 6 << 20
+BUCKET = 3 << 20
 LAST = np.iinfo(np.int64).max
 TAG = np.uint64((1 << 47) - 1)
 PACKED = "block bigint, size bigint, data binary, rest binary"
@@ -269,7 +269,7 @@ def _send(blocks: DataFrame, use: Callable, buckets: int, length: int) -> DataFr
                     names=["bucket", "block", "n", "blob"],
                 )
 
-    return blocks.mapInArrow(run, SENT)
+    return map_batches(blocks, run, SENT)
 
 
 def _answered(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
@@ -287,18 +287,18 @@ def _mark(docs: DataFrame, id_col: str, text_col: str, length: int, block: int,
     own = docs.select(
         F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in others)
     )
-    packed = cut(own.mapInArrow(lambda it: _blocks(it, block), PACKED))
+    packed = cut(map_batches(own, lambda it: _blocks(it, block), PACKED))
     buckets = max(1, -(-(packed.agg(F.sum("size")).first()[0] or 0) // bucket))
     tags = _send(packed, lambda row, b: b.tags(), buckets, length)
-    known = cut(_answered(packed, tags.groupBy("bucket").applyInArrow(_repeated, ANSWER), "repeated"))
-    discard(packed)
+    known = cut(_answered(packed, map_groups(tags, "bucket", _repeated, ANSWER), "repeated"))
+    discard(packed, collect=True)
 
     def strings(row, b):
         b.keep(_as_dict(row["repeated"]))
         return b.strings()
 
     sent = _send(known, strings, buckets, length)
-    minima = cut(sent.groupBy("bucket").applyInArrow(lambda t: _minima(t, length), ANSWER))
+    minima = cut(map_groups(sent, "bucket", lambda t: _minima(t, length), ANSWER))
 
     def run(batches):
         for batch in batches:
@@ -307,7 +307,7 @@ def _mark(docs: DataFrame, id_col: str, text_col: str, length: int, block: int,
                 b.keep(_as_dict(row["repeated"]))
                 yield finish(b, b.covered(_as_dict(row["minima"])))
 
-    return _answered(known, minima, "minima").mapInArrow(run, schema)
+    return map_batches(_answered(known, minima, "minima"), run, schema)
 
 
 def scan(

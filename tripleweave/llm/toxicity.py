@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm import gru
-from tripleweave.llm.arrow import raw_texts, share, slices
+from tripleweave.llm.arrow import map_batches, raw_texts, share, slices
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -304,7 +304,7 @@ def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*batch.columns, score(batch)], names=[*batch.schema.names, score_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{score_col}` double")
+    return map_batches(docs, run, f"{fields}, `{score_col}` double")
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD):
