@@ -3,7 +3,9 @@
 The model's protobuf is read field by field; from it a tokenizer is built anew: the normaliser, the marker
 for spaces, the scores (unigram) or the merges that scores imply (byte-pair), and bytes for characters
 without a piece. Texts are encoded in batches over several threads, and each text's ids are compared with
-those of the sentencepiece library over the same model.
+those of the sentencepiece library over the same model. Where no piece of a model goes on after the end of a
+word, a word has the same ids in any text: then the different words of a task are encoded and decoded once,
+up to ``KNOWN`` at a time.
 
 Defined cases: a null or empty text has no ids and counts as equal. Repeated rows are encoded one by one,
 null ids pass through, other columns are ignored. An empty table gives an empty result.
@@ -11,22 +13,27 @@ null ids pass through, other columns are ignored. An empty table gives an empty
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.arrow import slices
+from tripleweave.llm.arrow import map_batches, slices
 
 # Fixed values of the format: the space marker, kinds of pieces and of models.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-SLICE = 1 << 19
+SLICE = 1 << 18
+THREADS = 2
+KNOWN = 200_000
+WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -107,6 +114,12 @@ def merges(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def by_word(model: Model) -> bool:
+    """Whether words can be encoded one by one: no piece crosses a word's end, none is cut out beforehand."""
+    used = [(p, kind) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)]
+    return not any(kind == USER_DEFINED or MARK in p.lstrip(MARK) for p, kind in used)
+
+
 def build(model: Model):
     """A tokenizer of the tokenizers library that does what the model says."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -129,10 +142,8 @@ def build(model: Model):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    if not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)):
-        # No piece goes on after a word's end, so words can be encoded, and remembered, one by one.
-        words = Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(words, "isolated")
+    if by_word(model):
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD.pattern), "isolated")
     own = [AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED]
     if own:
         tokenizer.add_tokens(own)
@@ -141,8 +152,64 @@ def build(model: Model):
     return tokenizer
 
 
+class Codec:
+    """Encodes and decodes texts; words once each where the model allows it."""
+
+    def __init__(self, model: Model, description: str):
+        from tokenizers import Tokenizer, decoders, normalizers
+
+        self.whole = Tokenizer.from_str(description)
+        self.words = Tokenizer.from_str(description) if by_word(model) else None
+        self.names = [p if kind == NORMAL else "" for p, _, kind in model.pieces]
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.odd: dict[str, str] = {}  # words whose ids decode to something else than the word
+        self.prefix = MARK if model.dummy_prefix else ""
+        self.plain = not model.charsmap and not model.squeeze
+        if self.words is not None:
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = None
+            self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+
+    def _normal(self, text: str) -> str:
+        if not self.plain:
+            return self.whole.normalizer.normalize_str(text)
+        return self.prefix + text.replace(" ", MARK) if text else ""
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids of texts, and the texts that the ids decode to."""
+        if self.words is None:
+            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return ids, self.whole.decode_batch(ids, skip_special_tokens=False)
+        normal = [self._normal(t) for t in texts]
+        split = [WORD.findall(t) for t in normal]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        self._learn(list({w for words in split for w in words if w not in self.known}))
+        find = self.known.__getitem__
+        ids = [list(chain.from_iterable(map(find, words))) for words in split]
+        decoded = [self._decoded(t, words) for t, words in zip(normal, split)]
+        return ids, decoded
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words, and decode those whose pieces are not simply the word cut up."""
+        # Tuples of numbers are of no interest to the garbage collector, lists would be walked again and again.
+        found = [tuple(e.ids) for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        self.known.update(zip(words, found))
+        name = self.names.__getitem__
+        unlike = [(w, ids) for w, ids in zip(words, found) if "".join(map(name, ids)) != w]
+        back = self.words.decode_batch([ids for _, ids in unlike], skip_special_tokens=False)
+        self.odd |= {w: b for (w, _), b in zip(unlike, back) if b != w.replace(MARK, " ")}
+
+    def _decoded(self, normal: str, words: list[str]) -> str:
+        if self.odd and not self.odd.keys().isdisjoint(words):
+            text = "".join([self.odd.get(w, w.replace(MARK, " ")) for w in words])
+        else:
+            text = normal.replace(MARK, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
 def encode(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: bool = True
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS
 ) -> DataFrame:
     """``(doc_id, ids, n_bytes_as_pieces, round_trip, parity)`` per document.
 
@@ -158,17 +225,16 @@ def encode(
     def run(batches):
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"
+        # Read once, when the worker first encodes; more threads than a task has cores only cost memory.
+        os.environ |= {"TOKENIZERS_PARALLELISM": str(threads > 1).lower(), "RAYON_NUM_THREADS": str(threads)}
         import sentencepiece
-        from tokenizers import Tokenizer
 
         description, data = shared.value
-        tokenizer = Tokenizer.from_str(description)
+        codec = Codec(parse(data), description)
         reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in slices(batches, "text", SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+            ids, back = codec.encode(texts)
             parity = [reference.encode(t) == own for t, own in zip(texts, ids)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -184,7 +250,7 @@ def encode(
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>, n_bytes_as_pieces bigint, round_trip boolean, parity boolean"
-    return own.mapInArrow(run, schema)
+    return map_batches(own, run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -203,4 +269,4 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     own = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_batches(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string")
