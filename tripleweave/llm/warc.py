@@ -92,14 +92,14 @@ def _header(head: Column, name: str) -> Column:
 
 def derive(records: DataFrame) -> DataFrame:
     """Conversion and metadata records of the response records among ``records``."""
-    # As one character per byte the block can be searched without decoding it.
-    plain = F.decode("block", "ISO-8859-1")
-    split = F.instr(plain, CRLF + CRLF)
-    http = plain.startswith("HTTP/") & (split > 0)
+    # Bytes are searched as they are; the head's length in bytes tells where the body begins.
+    before = F.substring_index(F.col("block").cast("string"), CRLF + CRLF, 1)
+    split = F.octet_length(before)
+    http = before.startswith("HTTP/") & (split < F.octet_length("block"))
     parts = (
         records.filter("type = 'response'")
-        .withColumn("__head", F.when(http, F.concat(F.substr(plain, F.lit(1), split - 1), F.lit(CRLF))).otherwise(""))
-        .withColumn("__body", F.when(http, F.substr("block", split + 4)).otherwise(F.col("block")))
+        .withColumn("__head", F.when(http, F.concat(before, F.lit(CRLF))).otherwise(""))
+        .withColumn("__body", F.when(http, F.substr("block", split + 5)).otherwise(F.col("block")))
         .withColumn("__html", _utf8(F.col("__body")))
     )
     said = parts.select(
@@ -109,7 +109,7 @@ def derive(records: DataFrame) -> DataFrame:
         "block_digest",
         F.coalesce("payload_digest", digest(F.col("__body"))).alias("payload_digest"),
         F.regexp_extract("__head", r"^HTTP/[0-9.]+ ([0-9]+)", 1).alias("status"),
-        *(_header(F.col("__head"), n).alias(k) for k, n in (("kind", "Content-Type"), ("server", "Server"), ("changed", "Last-Modified"))),
+        *(_utf8(_header(F.col("__head"), n)).alias(k) for k, n in (("kind", "Content-Type"), ("server", "Server"), ("changed", "Last-Modified"))),
         F.regexp_extract("__html", r"(?is)<title\b[^>]*>(.*?)</title>", 1).alias("title"),
         F.regexp_extract("__html", r'(?is)<html\b[^>]*\blang="([^"]*)"', 1).alias("lang"),
         F.regexp_extract_all("__html", F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1)).alias("links"),
