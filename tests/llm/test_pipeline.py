@@ -20,7 +20,7 @@ def planted(tmp_path_factory):
     item = "a question that only the benchmark should ever ask of any model at all"
     extra = [
         ("copy", kept[3]["text"]),
-        ("near", kept[3]["text"] + " end"),
+        ("near", kept[5]["text"] + " end"),  # two bits from the text itself
         ("first", CLEAN.format(i=1) + passage),
         ("second", passage + CLEAN.format(i=2)),
         ("leak", CLEAN.format(i=3) + item + " and more words follow"),
@@ -52,7 +52,7 @@ def test_stages(spark, planted, monkeypatch):
         tables.append({r.doc_id: r for r in docs.collect()})
     toxic, near, cut, clean, encoded = tables
     assert set(toxic) >= set(near) >= set(cut) >= set(clean) == set(encoded)
-    if 3 in toxic:
+    if {3, 5} <= set(toxic):
         assert ids["copy"] not in near and ids["near"] not in near
     assert ids["clean"] in encoded and clean[ids["clean"]].text == CLEAN.format(i=4)
     assert passage in cut[ids["first"]].text and passage not in cut[ids["second"]].text
