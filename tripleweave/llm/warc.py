@@ -3,7 +3,9 @@
 Records are rows: ``record_id, type, uri, date, content_type, refers_to, concurrent_to, block_digest,
 payload_digest, block`` with the block as binary. From each response come one conversion record with the
 text of its page and one metadata record with what the response said about itself: status, headers, digests
-and the page's title, language and links. Both name the response in ``refers_to``; the metadata record also
+and the page's title, language and links. All header lines are written as ``http-header``, in order and with
+repeats and continued lines joined, as soon as there is one that the other lines do not tell: other than a single
+Content-Type, Server or Last-Modified, or a single Content-Length that is the body's length. Both name the response in ``refers_to``; the metadata record also
 names the conversion, as made at the same time. Ids are hashes of what they stand for, so that a task that
 runs twice makes the same records. Everything is DataFrame functions, row by row, without a shuffle.
 
@@ -110,6 +112,8 @@ def derive(records: DataFrame) -> DataFrame:
         F.coalesce("payload_digest", digest(F.col("__body"))).alias("payload_digest"),
         F.regexp_extract("__head", r"^HTTP/[0-9.]+ ([0-9]+)", 1).alias("status"),
         *(_utf8(_header(F.col("__head"), n)).alias(k) for k, n in (("kind", "Content-Type"), ("server", "Server"), ("changed", "Last-Modified"))),
+        F.regexp_extract_all(F.regexp_replace(_utf8(F.col("__head")), r"\r\n[ \t]+", " "), F.lit(r"\r\n([^\r\n]+)"), F.lit(1)).alias("headers"),
+        F.octet_length("__body").cast("string").alias("length"),
         F.regexp_extract("__html", r"(?is)<title\b[^>]*>(.*?)</title>", 1).alias("title"),
         F.regexp_extract("__html", r'(?is)<html\b[^>]*\blang="([^"]*)"', 1).alias("lang"),
         F.regexp_extract_all("__html", F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1)).alias("links"),
@@ -121,12 +125,20 @@ def derive(records: DataFrame) -> DataFrame:
     line = lambda name, value: F.when(
         value != "", F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r" *[\r\n]+ *", " "), F.lit(CRLF))
     )
+    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
+    value = lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))
+    told_else = lambda x: name(x).isin("content-type", "server", "last-modified") | (
+        (name(x) == "content-length") & (value(x) == F.col("length"))
+    )
+    single = F.size(F.array_distinct(F.transform("headers", name))) == F.size("headers")
+    headers = F.when(single & F.forall("headers", told_else), F.array().cast("array<string>")).otherwise(F.col("headers"))
     about = F.concat_ws(
         "",
         line("http-status", F.col("status")),
         line("http-content-type", F.col("kind")),
         line("http-server", F.col("server")),
         line("http-last-modified", F.col("changed")),
+        F.array_join(F.transform(headers, lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF))), ""),
         line("source-block-digest", F.col("block_digest")),
         line("source-payload-digest", F.col("payload_digest")),
         line("title", F.trim("title")),
