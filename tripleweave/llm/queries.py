@@ -9,6 +9,7 @@ from tripleweave.llm import (
     chat_tree,
     decontaminate,
     licenses,
+    periods,
     pieces,
     quality,
     simhash,
@@ -132,6 +133,38 @@ def op10_toxicity(spark, sf_dir):
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """One document in ten, by a checksum of its id, goes round in a circle from some word on."""
+    sum32 = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    own = docs.select("doc_id", "text", sum32.alias("h"), F.when(sum32 % 10 == 0, words).alias("words"))
+    own = own.withColumns({"g": F.floor(F.col("h") / 10), "n": F.size("words").cast("bigint")})
+    own = own.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    own = own.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    circle = F.expr("concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a) + 1, int(p)), "
+                    "int((n - a) div p + 1))), 1, int(n - a)))")
+    text = F.when(F.col("a").isNotNull(), F.array_join(circle, " ")).otherwise(F.col("text"))
+    return own.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    found = periods.scan(with_planted_periods(_table(tune(spark), sf_dir, "documents")))
+    one = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    ranked = F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"]))
+    found = found.withColumn("top", F.array_min(ranked))
+    length, period = -F.col("top.col1"), F.col("top.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", one), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries():
     """Every query of the package by name."""
     found = [
@@ -145,5 +178,6 @@ def queries():
         op8_decontamination,
         op9_url_templates,
         op10_toxicity,
+        op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}

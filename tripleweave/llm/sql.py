@@ -186,6 +186,37 @@ LEFT JOIN bad ON bad.host = placed.host AND bad.branch = placed.branch
 """
 
 
+# A CRC-32 by its bits (reflected polynomial 0xEDB88320), all word pairs of a lag as islands, the least lag of each.
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS t, coalesce(text, '') AS text FROM documents),
+c AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length(t) + 1), lambda i: ascii(substr(t, i, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS h FROM d),
+w AS (SELECT r, doc_id, h, h // 10 AS g,
+  list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d JOIN c USING (r)),
+a AS (SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN g % len(words) END AS a FROM w),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+x AS (SELECT r, n, unnest(range(n)) AS i,
+  unnest(CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN words[i + 1]
+    ELSE words[a + (i - a) % p + 1] END) END) AS word FROM p),
+same AS (SELECT u.r, u.i, v.i - u.i AS q FROM x u JOIN x v ON u.r = v.r AND u.word = v.word AND v.i > u.i
+  AND 2 * (v.i - u.i) <= u.n),
+islands AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM
+  (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same)
+  GROUP BY r, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+runs AS (SELECT r, start, length, min(q) AS period FROM islands GROUP BY r, start, length),
+told AS (SELECT r, count(*) AS n_runs, arg_min({'s': start, 'l': length, 'p': period}, [-length, start, period]) AS top,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period,
+  (1000 * top.l) // top.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_derivatives": OP1,
@@ -194,4 +225,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_rules": OP4,
         "op8_decontamination": OP8,
         "op9_url_templates": OP9,
+        "op13_periodic_runs": OP13,
     }
