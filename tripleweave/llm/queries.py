@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleweave.llm import (
     chat_tree,
     decontaminate,
+    lexical,
     licenses,
     periods,
     pieces,
@@ -133,6 +134,11 @@ def op10_toxicity(spark, sf_dir):
     )
 
 
+def op12_lexical_search(spark, sf_dir):
+    found = lexical.index(_table(tune(spark), sf_dir, "documents"))
+    return lexical.search(found, _table(spark, sf_dir, "benchmark"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """One document in ten, by a checksum of its id, goes round in a circle from some word on."""
     sum32 = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -178,6 +184,7 @@ def queries():
         op8_decontamination,
         op9_url_templates,
         op10_toxicity,
+        op12_lexical_search,
         op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}

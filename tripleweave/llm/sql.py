@@ -186,6 +186,23 @@ LEFT JOIN bad ON bad.host = placed.host AND bad.branch = placed.branch
 """
 
 
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS total, sum(len(terms))::BIGINT AS words FROM d),
+e AS (SELECT r, doc_id, unnest(terms) AS term, len(terms) AS n FROM d),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM e SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term),
+i AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total) // words))) AS score
+  FROM t JOIN f USING (term), s),
+g AS (SELECT item_id, doc_id, r, sum(times * score)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id
+  ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0) WHERE rank <= 10
+"""
+
 # A CRC-32 by its bits (reflected polynomial 0xEDB88320), all word pairs of a lag as islands, the least lag of each.
 OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS t, coalesce(text, '') AS text FROM documents),
@@ -225,5 +242,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_rules": OP4,
         "op8_decontamination": OP8,
         "op9_url_templates": OP9,
+        "op12_lexical_search": OP12,
         "op13_periodic_runs": OP13,
     }
