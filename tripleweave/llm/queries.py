@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.llm import (
     chat_tree,
+    chosen_path,
     decontaminate,
     lexical,
     licenses,
@@ -134,6 +135,12 @@ def op10_toxicity(spark, sf_dir):
     )
 
 
+def op11_chosen_path(spark, sf_dir):
+    found = chosen_path.near_duplicates(_table(tune(spark), sf_dir, "documents"))
+    kept = F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op12_lexical_search(spark, sf_dir):
     found = lexical.index(_table(tune(spark), sf_dir, "documents"))
     return lexical.search(found, _table(spark, sf_dir, "benchmark"))
@@ -184,6 +191,7 @@ def queries():
         op8_decontamination,
         op9_url_templates,
         op10_toxicity,
+        op11_chosen_path,
         op12_lexical_search,
         op13_periodic_runs,
     ]
