@@ -52,7 +52,6 @@ def components(spark, docs, **options):
 @pytest.mark.parametrize("leaf,depth", [(512, 20), (10, 20), (10, 1)])
 def test_same_components_as_all_pairs(spark, monkeypatch, leaf, depth):
     monkeypatch.setattr(chosen_path, "LEAF", leaf)
-    monkeypatch.setattr(chosen_path, "BATCHES", ((0, 3), (3, 12)))
     monkeypatch.setattr(chosen_path, "DEPTH", depth)
     docs = corpus(random.Random(leaf))
     assert components(spark, docs) == plain_components(docs)
@@ -82,6 +81,21 @@ def test_defined_cases(spark):
     assert chosen_path.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_hashes_of_words_and_shingles():
+    rng = np.random.default_rng(2)
+    texts = [b"", b" ", b"One", b"one  TWO three", b"x" * 200 + b" y", b"\t", "\u00e4 \u00c4 b".encode(), b"x" * 63, b"x" * 65]
+    texts += [b" ".join(bytes(rng.integers(97, 100, rng.integers(1, 20)).tolist()) for _ in range(30)) for _ in range(20)]
+    seen = {}
+    for width in (1, 4, 5):
+        for text, found in zip(texts, chosen_path.hashed(texts, width)):
+            words = text.lower().split()
+            want = [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+            assert len(found) == len(want)
+            for w, h in zip(want, found.tolist()):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_tokens_and_tree_rates():
     """Common tokens follow the similarity, and a pair at 0.8 meets in a tree about as often as stated."""
     rng = np.random.default_rng(3)

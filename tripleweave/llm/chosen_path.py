@@ -11,7 +11,7 @@ of a node is left out. ``TREES`` independent trees give the recall: a leaf's pai
 by one tree with a probability of 0.33, by all with 0.00002, and by 0.03 at worst after ten levels of branching.
 
 What is linked is certain: every link is decided on the whole sets, with integers. Documents with equal sets
-are one class from the start, of which one text only is looked at. Trees are taken in batches; after each batch
+are one class from the start, of which one text only is looked at. The first ``EARLY`` trees go first; then
 linked classes get a common root, and nodes whose members have one root are not compared again. So
 of a group of near copies only a spanning part of the links is ever computed, and connected groups cost
 later trees nothing. Signatures travel with the members of a node; whole sets follow only those whose signature
@@ -31,12 +31,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.arrow import map_batches, raw_texts
+from tripleweave.llm.arrow import map_batches, raw_texts, slices
 from tripleweave.llm.components import components
-from tripleweave.llm.simhash import majority, masks, shingle_hashes
+from tripleweave.llm.simhash import majority, masks
 from tripleweave.operators.joins import skew_join
 from tripleweave.session import cut, discard
 
@@ -44,14 +45,18 @@ SHINGLE = 4
 #: The least similarity as a fraction, compared in whole numbers.
 SIMILAR = (4, 5)
 TOKENS, TREES, BRANCH = 128, 12, 1.1
-#: Trees after which roots are brought up to date; the first ones find most links.
-BATCHES = ((0, 2), (2, 6), (6, TREES))
+#: Trees after which roots are brought up to date for the first time; they find most links.
+EARLY = 3
 LEAF, LEADERS, DEPTH = 512, 4, 20
+#: Bytes of a word up to which words are hashed together.
+LONG_WORD = 64
+BATCH_BYTES = 1 << 22
+SPACES = np.isin(np.arange(256), np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8))
 #: Common tokens from which on whole sets are compared: four standard deviations below the least similarity.
 RESEMBLING = 84
 RANDOM = np.random.default_rng(11)
-FACTORS = RANDOM.integers(1 << 62, 1 << 63, TOKENS, np.uint64) | np.uint64(1)
-MASKS = RANDOM.integers(0, 1 << 63, TOKENS, np.uint64)
+FACTORS = RANDOM.integers(1 << 30, 1 << 32, TOKENS, np.uint32) | np.uint32(1)
+MASKS = RANDOM.integers(0, 1 << 32, TOKENS, np.uint32)
 TREE_SEEDS = RANDOM.integers(0, 1 << 63, TREES, np.uint64)
 KEPT = np.uint64(int(BRANCH * SIMILAR[1] / (SIMILAR[0] * TOKENS) * 2**64))
 
@@ -62,12 +67,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def word_hashes(line: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of every word ``line[start:stop]``, eight bytes at a time; very long words are hashed one by one."""
+    size = stops - starts
+    eights = np.lib.stride_tricks.as_strided(np.frombuffer(line + bytes(8), np.uint64, 1), (len(line) + 1,), (1,))
+    out = size.astype(np.uint64)
+    for at in range(0, LONG_WORD, 8):
+        rest = np.flatnonzero(size > at) if at else np.arange(len(size))
+        if not len(rest):
+            break
+        bits = 8 * np.minimum(size[rest] - at, 8).astype(np.uint64)
+        part = eights[starts[rest] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - bits))
+        out[rest] = mixed(out[rest] ^ part)
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(line[starts[i] : stops[i]])
+    return out
+
+
+def hashed(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text a hash of every shingle of its lower-cased words, repeats included."""
+    line = b" " + b" ".join(texts).lower() + b" "
+    space = SPACES[np.frombuffer(line, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, stops = edges[::2], edges[1::2]
+    words = word_hashes(line, starts, stops)
+    firsts = np.searchsorted(starts, np.r_[1, 1 + np.cumsum([len(t) + 1 for t in texts])])
+    shingles = np.full(max(0, len(words) - width + 1), width, np.uint64)
+    for k in range(width):
+        shingles = mixed(shingles ^ words[k : k + len(shingles)])
+    out = []
+    for first, stop in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+        n = stop - first
+        if n >= width:
+            out.append(shingles[first : stop - width + 1])
+            continue
+        one = np.full(min(n, 1), n, np.uint64)
+        for k in range(first, stop):
+            one = mixed(one ^ words[k])
+        out.append(one)
+    return out
+
+
 def tokens(shingles: np.ndarray) -> np.ndarray:
     """The minwise tokens of a set that is not empty, each made of its place and value."""
-    least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        least = np.minimum(least, ((shingles[at : at + 1024] ^ MASKS[:, None]) * FACTORS[:, None]).min(axis=1))
-    return mixed(least + np.arange(TOKENS, dtype=np.uint64))
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), 1024):
+        least = np.minimum(least, ((high[at : at + 1024] ^ MASKS[:, None]) * FACTORS[:, None]).min(axis=1))
+    return mixed(least + (np.arange(TOKENS, dtype=np.uint64) << np.uint64(32)))
 
 
 def children(nodes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +124,19 @@ def children(nodes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, mixed(chance[row, place] + np.uint64(1))
 
 
-def _marks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _marks(batches: Iterator[pa.RecordBatch], width: int, fingerprints: bool) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in slices(iter([whole]), "text", BATCH_BYTES)):
         out: dict[str, list] = {c: [] for c in ("class", "n", "fp", "signature", "trees", "keys")}
-        for raw in raw_texts(batch, "text"):
-            hashes = shingle_hashes(raw, width)
+        for hashes in hashed(raw_texts(batch, "text"), width):
             own = np.unique(hashes)
             signature, trees, keys = b"", [], []
             if len(own):
                 all_tokens = tokens(own)
                 signature = (all_tokens & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
-                tree, key = children(TREE_SEEDS, np.broadcast_to(all_tokens, (TREES, TOKENS)))
+                tree, key = children(TREE_SEEDS, all_tokens[None, :])
                 trees, keys = tree.tolist(), key.view(np.int64).tolist()
-            found = (hashlib.sha256(own.tobytes()).digest()[:16], len(own), majority(hashes), signature, trees, keys)
+            fp = majority(hashes) if fingerprints else 0
+            found = (hashlib.sha256(own.tobytes()).digest()[:16], len(own), fp, signature, trees, keys)
             for values, value in zip(out.values(), found):
                 values.append(value)
         types = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -237,6 +284,21 @@ def _open(members: DataFrame) -> DataFrame:
     return cut(skew_join(members, sizes.filter("low < high").drop("high"), ["key"]))
 
 
+def _near(small: DataFrame, signatures: DataFrame) -> DataFrame:
+    return cut(map_batches(_with(small.drop("n", "low"), signatures, "key"), _resembling, MEMBER))
+
+
+def _close(near: DataFrame, sets: DataFrame) -> DataFrame:
+    return cut(map_batches(_with(near, sets, "key"), _leaf_links, "a bigint, b bigint"))
+
+
+def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return members.select("key", "rep", F.col("rep").alias("root"))
+    named = skew_join(members.select("key", "rep"), found, ["rep"], "left")
+    return named.select("key", "rep", F.coalesce("root", "rep").alias("root"))
+
+
 def _with(members: DataFrame, of_rep: DataFrame, *group: str) -> DataFrame:
     """Members with a column of their classes, sorted by node."""
     return skew_join(members, of_rep, ["rep"]).repartition(*group).sortWithinPartitions(*group, "rep")
@@ -266,48 +328,41 @@ def _large_links(large: DataFrame, signatures: DataFrame, sets: DataFrame, level
     return found, on
 
 
-def links(signatures: DataFrame, batches: list[DataFrame], fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(signatures: DataFrame, members: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(rep, root)`` of classes that are linked with others.
 
-    ``signatures(rep, signature)`` has the classes, each of ``batches(key, rep)`` deals them to nodes, and
-    ``fetch`` gives the whole sets ``(rep, shingles)`` of some.
+    ``signatures(rep, signature)`` has the classes, ``members(key, rep, late)`` deals them to nodes, of which the
+    ``late`` ones wait for the links of the others, and ``fetch`` gives the whole sets ``(rep, shingles)`` of some.
     """
-    found, sets = None, None
-    for batch in batches:
-        members = batch.select("key", "rep")
-        if found is None:
-            members = members.withColumn("root", F.col("rep"))
-        else:
-            members = skew_join(members, found, ["rep"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        new, level = [], 0
-        while True:
-            now = _open(members)
+    late = members.groupBy("key").agg(F.count("*").alias("n"), F.first("late").alias("late")).filter("n > 1")
+    crowded = cut(skew_join(members.select("key", "rep"), late, ["key"]))
+    small, large = crowded.filter(F.col("n") <= LEAF), crowded.filter(F.col("n") > LEAF)
+    near = _near(_rooted(small, None), signatures)
+    sets = cut(fetch(near.select("rep").unionByName(large.select("rep")).distinct()))
+    near = skew_join(near.select("key", "rep"), late, ["key"])
+    found = None
+    for turn in (F.col("late") == 0, F.col("late") == 1):
+        now = _open(_rooted(near.filter(turn), found))
+        new = [_close(now.drop("n", "low"), sets)]
+        discard(now)
+        now, level = _open(_rooted(large.filter(turn), found)), 0
+        while not now.isEmpty():
             if level:
-                discard(members)
-            small, large = now.filter(F.col("n") <= LEAF), now.filter(F.col("n") > LEAF)
-            near = cut(map_batches(_with(small.drop("n", "low"), signatures, "key"), _resembling, MEMBER))
-            if not level:
-                wanted = near.select("rep").unionByName(large.select("rep")).distinct()
-                if sets is not None:
-                    wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
-                more = cut(fetch(wanted))
-                sets = more if sets is None else sets.unionByName(more)
-            new.append(cut(map_batches(_with(near, sets, "key"), _leaf_links, "a bigint, b bigint")))
-            discard(near)
-            if large.isEmpty():
-                discard(now, collect=True)
-                break
-            by_leaders, members = _large_links(large, signatures, sets, level)
+                some = _near(now.filter(F.col("n") <= LEAF), signatures)
+                new.append(_close(some, sets))
+                discard(some)
+            by_leaders, on = _large_links(now.filter(F.col("n") > LEAF), signatures, sets, level)
             new.append(by_leaders)
             discard(now, collect=True)
-            level += 1
+            now, level = _open(on), level + 1
+            discard(on)
         before = [found.toDF("a", "b")] if found is not None else []
         after = cut(components(reduce(DataFrame.unionByName, [*before, *new])).toDF("rep", "root"))
-        for table in [*before, *new]:
+        for table in [*before, *new, now]:
             discard(table)
         found = after
-    if sets is not None:
-        discard(sets)
+    for table in (crowded, sets):
+        discard(table)
     return found
 
 
@@ -325,7 +380,7 @@ def near_duplicates(
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     schema = "id bigint, class binary, n bigint, fp bigint, signature binary, trees array<int>, keys array<bigint>"
-    marked = cut(map_batches(own, lambda batches: _marks(batches, width), schema))
+    marked = cut(map_batches(own, lambda batches: _marks(batches, width, fingerprints), schema))
     columns = [F.first(c).alias(c) for c in ("n", "fp", "signature", "trees", "keys")]
     classes = marked.groupBy("class").agg(F.min("id").alias("least"), *columns)
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
@@ -335,8 +390,8 @@ def near_duplicates(
         """The sets of some classes, from the text of one of their documents."""
 
         def run(batches):
-            for batch in batches:
-                sets = [np.unique(shingle_hashes(raw, width)).tobytes() for raw in raw_texts(batch, "text")]
+            for batch in (part for whole in batches for part in slices(iter([whole]), "text", BATCH_BYTES)):
+                sets = [np.unique(hashes).tobytes() for hashes in hashed(raw_texts(batch, "text"), width)]
                 right = [hashlib.sha256(s).digest()[:16] == c for s, c in zip(sets, batch.column("class").to_pylist())]
                 found = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
                 yield found.filter(pa.array(right, pa.bool_()))
@@ -345,16 +400,16 @@ def near_duplicates(
         texts = skew_join(own, owners, ["id"]).select("rep", "class", "text")
         return map_batches(texts, run, "rep bigint, shingles binary").dropDuplicates(["rep"])
 
-    batches = []
+    zipped = linked.select("rep", F.explode(F.arrays_zip("trees", "keys")).alias("x"))
+    members = zipped.select(F.col("x.keys").alias("key"), "rep", (F.col("x.trees") >= EARLY).cast("int").alias("late"))
     if fingerprints:
         tables = (
             F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")))
             for t, m in enumerate(masks(list(range(64))))
         )
-        batches.append(linked.select(F.explode(F.array(*tables)).alias("key"), "rep"))
-    dealt = linked.select("rep", F.explode(F.arrays_zip("trees", "keys")).alias("x")).select("rep", "x.trees", F.col("x.keys").alias("key"))
-    batches += [dealt.filter((F.col("trees") >= a) & (F.col("trees") < b)) for a, b in BATCHES]
-    roots = links(linked.select("rep", "signature"), batches, sets_of)
+        dealt = linked.select(F.explode(F.array(*tables)).alias("key"), "rep", F.lit(0).alias("late"))
+        members = members.unionByName(dealt)
+    roots = links(linked.select("rep", "signature"), members, sets_of)
     told = skew_join(classes, roots, ["rep"], "left").select("class", "least", "n", F.coalesce("root", "rep").alias("root"))
     told = cut(told)
     smallest = told.groupBy("root").agg(F.min("least").alias("component_id"))
