@@ -5,7 +5,8 @@ Jaccard similarity says. Documents are dealt to the nodes of random trees: at a
 probability of ``BRANCH / (similarity * TOKENS)``, by a hash that the node and the token determine, and a document
 goes on to one child per kept token of its own. Similar documents keep common tokens and meet again; a pair
 at the least similarity has ``BRANCH`` > 1 common children on average. A node of at most ``LEAF`` documents is compared
-exhaustively. A larger one is first compared with a few leaders, which then leave it, and the others branch on.
+exhaustively. A larger one is first compared with a few leaders, by signatures and then the sets of those that resemble
+them; the leaders then leave it, and the others branch on.
 Beyond ``DEPTH`` levels nodes no longer branch and lose leaders until they are small or connected, so that no pair
 of a node is left out. ``TREES`` independent trees give the recall: a leaf's pair at the least similarity is missed
 by one tree with a probability of 0.33, by all with 0.00002, and by 0.03 at worst after ten levels of branching.
@@ -13,7 +14,7 @@ by one tree with a probability of 0.33, by all with 0.00002, and by 0.03 at wors
 What is linked is certain: every link is decided on the whole sets, with integers. Documents with equal sets
 are one class from the start, of which one text only is looked at. The first ``EARLY`` trees go first; then
 linked classes get a common root, and nodes whose members have one root are not compared again. So
-of a group of near copies only a spanning part of the links is ever computed, and connected groups cost
+of a group of near copies only a spanning part of the links is ever written, and connected groups cost
 later trees nothing. Signatures travel with the members of a node; whole sets follow only those whose signature
 resembles another's.
 
@@ -46,8 +47,8 @@ SHINGLE = 4
 SIMILAR = (4, 5)
 TOKENS, TREES, BRANCH = 128, 12, 1.1
 #: Trees after which roots are brought up to date for the first time; they find most links.
-EARLY = 3
-LEAF, LEADERS, DEPTH = 512, 4, 20
+EARLY = 2
+LEAF, LEADERS, DEPTH = 2048, 8, 20
 #: Bytes of a word up to which words are hashed together.
 LONG_WORD = 64
 BATCH_BYTES = 1 << 22
@@ -192,10 +193,17 @@ def _similar_to(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return good
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of one byte per token."""
+    for batch in batches:
+        short = [np.frombuffer(x, np.uint16).astype(np.uint8).tobytes() for x in batch.column("signature").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(short, pa.binary())], names=["rep", "signature"])
+
+
 def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of each node whose signature resembles that of a member with another root."""
     for table, bounds in _whole_groups(batches, ["key"]):
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, TOKENS)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, TOKENS)
         root = table.column("root").to_numpy()
         hit = np.zeros(len(root), bool)
         sizes = np.diff(bounds)
@@ -233,46 +241,41 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of large nodes with their leaders: whom they are similar to, and their root from then on."""
+def _led(batches: Iterator[pa.RecordBatch], branching: bool) -> Iterator[pa.RecordBatch]:
+    """Members of large nodes with the leaders they resemble, and the children they go on to; leaders stay behind."""
+    places = np.arange(TOKENS, dtype=np.uint64) << np.uint64(16)
     for table, bounds in _whole_groups(batches, ["key", "salt"]):
-        sets, root, rep = _sets(table), table.column("root").to_numpy().copy(), table.column("rep").to_numpy()
-        leads, is_leader = [[] for _ in sets], table.column("lead").to_numpy(zero_copy_only=False)
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, TOKENS)
+        root, rep, key = (table.column(c).to_numpy() for c in ("root", "rep", "key"))
+        is_leader = table.column("lead").to_numpy()
+        leads, on = [[] for _ in rep], [[] for _ in rep]
         for start, stop in zip(bounds[:-1], bounds[1:]):
-            n = int(is_leader[start:stop].sum())
-            rows, heads = np.arange(start + n, stop), np.arange(start, start + n)
-            # Leaders that are linked, or have one root, have one name: the same one in every part of the node.
-            name, own = {int(h): int(root[h]) for h in heads}, {int(h): int(root[h]) for h in heads}
-            for h in heads:
-                for other, good in zip(heads, _similar_to(sets[h], [sets[i] for i in heads])):
-                    if good:
-                        low, high = sorted((name[int(h)], name[int(other)]))
-                        name = {k: low if v == high else v for k, v in name.items()}
-            for h in heads.tolist():
-                good = _similar_to(sets[h], [sets[i] for i in rows]) if len(rows) else np.zeros(0, bool)
-                for i in rows[good]:
-                    if root[i] != name[h] and rep[i] != rep[h]:
-                        leads[i].append(int(rep[h]))
-            named = {own[h]: name[h] for h in own}
-            of_rep = {int(rep[h]): name[h] for h in name}
-            for i in rows:
-                names = [of_rep[x] for x in leads[i]] + [named.get(int(root[i]), int(root[i]))]
-                root[i] = min(names) if leads[i] else names[-1]
-        keep = pa.array(~is_leader)
-        out = table.select(["key", "rep"]).append_column("root", pa.array(root))
-        out = out.append_column("leads", pa.array(leads, pa.list_(pa.int64())))
-        yield from out.filter(keep).to_batches()
-
-
-def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, TOKENS)
-        own = signature.astype(np.uint64) + (np.arange(TOKENS, dtype=np.uint64) << np.uint64(16))
-        row, key = children(batch.column("key").to_numpy().view(np.uint64), own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), batch.column("rep").take(pa.array(row)), batch.column("root").take(pa.array(row))],
-            names=["key", "rep", "root"],
-        )
+            first = start + int(is_leader[start:stop].sum())
+            for h in range(start, first):
+                near = ((signature[first:stop] == signature[h]).sum(axis=1) >= RESEMBLING) & (root[first:stop] != root[h])
+                for i in (first + np.flatnonzero(near)).tolist():
+                    leads[i].append(int(rep[h]))
+            going = np.flatnonzero(~np.isin(rep[first:stop], rep[start:first])) + first
+            if branching and len(going):
+                row, child = children(key[going].view(np.uint64), signature[going].astype(np.uint64) + places)
+                for i, c in zip(going[row].tolist(), child.view(np.int64).tolist()):
+                    on[i].append(c)
+            else:
+                for i in going.tolist():
+                    on[i].append(int(key[i]))
+        out = [pa.array(rep), pa.array(root), *(pa.array(x, pa.list_(pa.int64())) for x in (leads, on))]
+        yield from pa.table(out, names=["rep", "root", "leads", "keys"]).filter(pa.array(is_leader == 0)).to_batches()
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the members put with a leader, those whose sets are similar to its own; it comes first."""
+    for table, bounds in _whole_groups(batches, ["lead", "salt"]):
+        sets, rep, a, b = _sets(table), table.column("rep").to_numpy(), [], []
+        for start, stop in zip(bounds[:-1], bounds[1:]):
+            good = _similar_to(sets[start], sets[start + 1 : stop])
+            a += rep[start + 1 : stop][good].tolist()
+            b += [int(rep[start])] * int(good.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 MEMBER = "key bigint, rep bigint, root bigint"
@@ -304,26 +307,58 @@ def _with(members: DataFrame, of_rep: DataFrame, *group: str) -> DataFrame:
     return skew_join(members, of_rep, ["rep"]).repartition(*group).sortWithinPartitions(*group, "rep")
 
 
-def _large_links(large: DataFrame, signatures: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Links of the large nodes' leaders, and the members that go on from there."""
-    slot = F.when(F.col("root") == F.col("low"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("rep", "key"), F.lit(LEADERS)))
-    chosen = large.groupBy("key", "n", slot.alias("slot")).agg(F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(level))).alias("x"))
-    chosen = cut(chosen.select("key", "n", "x.*"))
-    parts = F.ceil(F.col("n") / LEAF).cast("bigint")
-    of_part = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("salt")
-    heads = chosen.select("key", of_part, F.lit(True).alias("lead"), "rep", "root")
-    rows = large.select("key", F.pmod(F.xxhash64("rep", "key"), parts).alias("salt"), F.lit(False).alias("lead"), "rep", "root")
-    both = skew_join(rows.unionByName(heads), sets, ["rep"]).repartition("key", "salt")
-    both = both.sortWithinPartitions("key", "salt", F.desc("lead"), "rep")
-    led = cut(map_batches(both, _led, f"{MEMBER}, leads array<bigint>"))
-    found = cut(led.select(F.col("rep").alias("a"), F.explode("leads").alias("b")).distinct())
-    left = _open(led.drop("leads").join(chosen.select("key", "rep"), ["key", "rep"], "left_anti"))
-    if level < DEPTH:
-        on = map_batches(skew_join(left.select("key", "rep", "root"), signatures, ["rep"]), _branched, MEMBER)
-        on = cut(on)
-    else:
-        on = cut(left.select("key", "rep", "root"))
-    for table in (chosen, led, left):
+class _Sets:
+    """Whole sets of classes, fetched when they are first needed."""
+
+    def __init__(self, fetch: Callable[[DataFrame], DataFrame]):
+        self.fetch, self.tables = fetch, []
+
+    def of(self, reps: DataFrame) -> DataFrame:
+        wanted = reps.select("rep").distinct()
+        for table in self.tables:
+            wanted = wanted.join(table.select("rep"), "rep", "left_anti")
+        self.tables.append(cut(self.fetch(wanted)))
+        return reduce(DataFrame.unionByName, self.tables)
+
+    def discard(self) -> None:
+        for table in self.tables:
+            discard(table)
+
+
+def _parts(n: str) -> tuple:
+    """All parts of a group of ``n`` members, and a member's own."""
+    parts = F.ceil(F.col(n) / LEAF).cast("bigint")
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("salt"), F.pmod(F.xxhash64("rep"), parts).alias("salt")
+
+
+def _large_links(large: DataFrame, signatures: DataFrame, sets: _Sets, level: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the large nodes' leaders, and the members that go on from there.
+
+    A part of a node, or of those that resemble one leader, is one task's; leaders are sent to each of its parts.
+    """
+    slot = F.when(F.col("root") == F.col("low"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("rep"), F.lit(LEADERS)))
+    first = F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(level)))
+    chosen = cut(large.groupBy("key", "n", slot.alias("slot")).agg(first.alias("x")).select("key", "n", "x.*"))
+    every, own = _parts("n")
+    heads = chosen.select("key", every, F.lit(1).alias("lead"), "rep", "root")
+    rows = large.select("key", own, F.lit(0).alias("lead"), "rep", "root").unionByName(heads)
+    rows = skew_join(rows, signatures, ["rep"]).repartition("key", "salt")
+    rows = rows.sortWithinPartitions("key", "salt", F.desc("lead"), "rep")
+    schema = "rep bigint, root bigint, leads array<bigint>, keys array<bigint>"
+    led = cut(map_batches(rows, lambda batches: _led(batches, level < DEPTH), schema))
+    pairs = cut(led.select("rep", F.explode("leads").alias("lead")).distinct())
+    sizes = cut(pairs.groupBy("lead").agg(F.count("*").alias("n")))
+    whole = sets.of(pairs.select("rep").unionByName(sizes.select(F.col("lead").alias("rep"))))
+    heads = sizes.select("lead", every, F.lit(1).alias("head"), F.col("lead").alias("rep"))
+    members = skew_join(pairs, sizes, ["lead"]).select("lead", own, F.lit(0).alias("head"), "rep")
+    both = skew_join(members.unionByName(heads), whole, ["rep"]).repartition("lead", "salt")
+    both = both.sortWithinPartitions("lead", "salt", F.desc("head"), "rep")
+    found = cut(map_batches(both, _confirmed, "a bigint, b bigint"))
+    named = skew_join(found, chosen.select(F.col("rep").alias("b"), "root").distinct(), ["b"])
+    better = cut(named.groupBy(F.col("a").alias("rep")).agg(F.min("root").alias("better")))
+    on = skew_join(led.select("rep", "root", F.explode("keys").alias("key")), better, ["rep"], "left")
+    on = cut(on.select("key", "rep", F.coalesce("better", "root").alias("root")))
+    for table in (chosen, led, pairs, sizes, better):
         discard(table)
     return found, on
 
@@ -334,24 +369,30 @@ def links(signatures: DataFrame, members: DataFrame, fetch: Callable[[DataFrame]
     ``signatures(rep, signature)`` has the classes, ``members(key, rep, late)`` deals them to nodes, of which the
     ``late`` ones wait for the links of the others, and ``fetch`` gives the whole sets ``(rep, shingles)`` of some.
     """
+    short = cut(map_batches(signatures, _shortened, "rep bigint, signature binary"))
     late = members.groupBy("key").agg(F.count("*").alias("n"), F.first("late").alias("late")).filter("n > 1")
     crowded = cut(skew_join(members.select("key", "rep"), late, ["key"]))
     small, large = crowded.filter(F.col("n") <= LEAF), crowded.filter(F.col("n") > LEAF)
-    near = _near(_rooted(small, None), signatures)
-    sets = cut(fetch(near.select("rep").unionByName(large.select("rep")).distinct()))
-    near = skew_join(near.select("key", "rep"), late, ["key"])
+    sets = _Sets(fetch)
+    near = _near(_rooted(small, None), short)
+    whole = sets.of(near)
+    turns = crowded.select("key", "late").distinct()
+    near = skew_join(near.select("key", "rep"), turns, ["key"])
     found = None
     for turn in (F.col("late") == 0, F.col("late") == 1):
         now = _open(_rooted(near.filter(turn), found))
-        new = [_close(now.drop("n", "low"), sets)]
+        new = [_close(now.drop("n", "low"), whole)]
         discard(now)
         now, level = _open(_rooted(large.filter(turn), found)), 0
         while not now.isEmpty():
             if level:
-                some = _near(now.filter(F.col("n") <= LEAF), signatures)
-                new.append(_close(some, sets))
+                some = _near(now.filter(F.col("n") <= LEAF), short)
+                new.append(_close(some, sets.of(some)))
                 discard(some)
-            by_leaders, on = _large_links(now.filter(F.col("n") > LEAF), signatures, sets, level)
+            big = now.filter(F.col("n") > LEAF)
+            if big.isEmpty():
+                break
+            by_leaders, on = _large_links(big, signatures, sets, level)
             new.append(by_leaders)
             discard(now, collect=True)
             now, level = _open(on), level + 1
@@ -361,8 +402,9 @@ def links(signatures: DataFrame, members: DataFrame, fetch: Callable[[DataFrame]
         for table in [*before, *new, now]:
             discard(table)
         found = after
-    for table in (crowded, sets):
+    for table in (crowded, short):
         discard(table)
+    sets.discard()
     return found
 
 
