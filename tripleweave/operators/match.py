@@ -8,6 +8,7 @@ are answered part by part (``match_components``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,9 @@ from tripleweave.operators.joins import skew_join
 from tripleweave.operators.scans import scan_pattern
 from tripleweave.session import cut
 
+#: Gives the rows of a triples frame that match a pattern, one column per variable.
+Scan = Callable[[DataFrame, Pattern], DataFrame]
+
 
 def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
@@ -56,9 +60,11 @@ def extend(bindings: DataFrame, triples: DataFrame, pattern: Pattern) -> DataFra
     return natural_join(bindings, scan_pattern(triples, pattern))
 
 
-def exists_pattern(bindings: DataFrame, triples: DataFrame, pattern: Pattern) -> DataFrame:
+def exists_pattern(
+    bindings: DataFrame, triples: DataFrame, pattern: Pattern, scan: Scan = scan_pattern
+) -> DataFrame:
     """Keep the bindings for which the pattern has at least one match."""
-    found = scan_pattern(triples, pattern)
+    found = scan(triples, pattern)
     if not found.columns:
         return bindings.where(found.select(F.lit(1).alias("one")).exists())
     shared = shared_columns(bindings, found)
@@ -205,11 +211,12 @@ def _match_connected(
     weight: dict[str, float],
     prune: bool,
     stepwise: bool | None,
+    scan: Scan,
 ) -> DataFrame:
     steps = join_order(patterns, weight)
     if stepwise is None:
         stepwise = _held_by_constant(steps[0][0])
-    scans = {p: scan_pattern(triples, p) for p in patterns}
+    scans = {p: scan(triples, p) for p in patterns}
     if prune:
         scans = _without_dead_ends(scans, [p for step in steps for p in step])
     bindings = scans[steps[0][0]]
@@ -231,6 +238,7 @@ def match_components(
     weights: DataFrame | None = None,
     prune: bool = False,
     stepwise: bool | None = None,
+    scan: Scan = scan_pattern,
 ) -> list[DataFrame]:
     """Solutions of the patterns, one binding table per connected part.
 
@@ -248,12 +256,12 @@ def match_components(
     tables = []
     for part in _components(linked):
         names = list(dict.fromkeys(v for p in part for v in pattern_vars(p)))
-        found = _match_connected(triples, part, weight, prune, stepwise)
+        found = _match_connected(triples, part, weight, prune, stepwise, scan)
         tables.append(found.select(*names))
     if not tables:
         tables = [triples.sparkSession.range(1).select()]
     for pattern in ground:
-        tables = [exists_pattern(table, triples, pattern) for table in tables]
+        tables = [exists_pattern(table, triples, pattern, scan) for table in tables]
     return tables
 
 
@@ -264,6 +272,7 @@ def match_bgp(
     keep_constants: bool = False,
     prune: bool = False,
     stepwise: bool | None = None,
+    scan: Scan = scan_pattern,
 ) -> DataFrame:
     """All solutions of a connected set of triple patterns, one column per variable.
 
@@ -274,8 +283,9 @@ def match_bgp(
     ``stepwise`` writes the binding table out before each join, so that its true size decides how the
     join runs. By default that is done where the first pattern names one of its ends: what follows from
     a constant is often small, and then large predicates are scanned without being shuffled.
+    ``scan`` finds the matches of one pattern (``inference.derivable`` finds derived ones as well).
     """
-    tables = match_components(triples, patterns, weights, prune, stepwise)
+    tables = match_components(triples, patterns, weights, prune, stepwise, scan)
     if len(tables) > 1:
         raise ValueError(
             "the patterns fall into parts without a shared variable: "
@@ -284,6 +294,26 @@ def match_bgp(
     return project_terms(tables[0], patterns) if keep_constants else tables[0]
 
 
+def match_star(triples: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """Patterns about one subject, over a store bucketed by subject (``store.load_bucketed``).
+
+    The rows of a subject lie in the bucket of the same number under every predicate, so that the
+    patterns are joined bucket by bucket and no scan is shuffled. In exchange the rows of a hot subject
+    are one task's; use ``match_bgp`` where subjects are that uneven.
+    """
+    check_names(patterns)
+    todo = list(dict.fromkeys(full_pattern(p) for p in patterns))
+    subjects = {s for s, _, _ in todo}
+    if len(subjects) != 1 or not is_var(next(iter(subjects))):
+        raise ValueError(f"the patterns are about several subjects or a constant: {sorted(subjects)}")
+    names = list(dict.fromkeys(v for p in todo for v in pattern_vars(p)))
+    found = scan_pattern(triples, todo[0])
+    for pattern in todo[1:]:
+        more = scan_pattern(triples, pattern)
+        found = found.join(more, shared_columns(found, more))
+    return found.select(*names)
+
+
 def project_terms(bindings: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """Columns for all terms in first-seen order, constant ends of edge patterns included."""
     terms: list[str] = []

@@ -363,7 +363,10 @@ def lubm_rules(spark, sf_dir):
 
 
 def w3(spark, sf_dir):
-    return match.match_bgp(materialize(spark, sf_dir), W3)
+    """Over what the rules derive, rewritten into patterns over stated triples."""
+    rules = tables.rules(tune(spark))
+    stated = [p for forms in inference.stated_patterns(W3, *rules).values() for p in forms]
+    return inference.match_derivable(tables.triples_for(spark, sf_dir, stated), W3, *rules)
 
 
 # --- graph operators ---------------------------------------------------------------------------

@@ -72,20 +72,22 @@ FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey
 JOIN {CONTAINS} ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
 WHERE n_regionkey = 1"""
 
-# Neighbours both ways, the levels reached from the roots, and the weights per predicate.
+# Neighbours both ways, the levels reached from the roots, and the weights per predicate. The walk is keyed by root
+# and node: a node that has a level is not walked on from again.
 LEVELS = f"""WITH RECURSIVE {TRIPLES}, {EDGES},
-ways AS (SELECT s AS a, o AS b FROM edges UNION SELECT o, s FROM edges),
-walk(root, node, level) AS (
+ways AS MATERIALIZED (SELECT s AS a, o AS b FROM edges UNION SELECT o, s FROM edges),
+walk(root, node, level) USING KEY (root, node) AS (
   SELECT DISTINCT a, a, 0 FROM ways WHERE a IN ('<region/1>', '<supplier/3>', '<customer/7>')
   UNION
-  SELECT root, b, level + 1 FROM walk JOIN ways ON a = node
-    WHERE level < (SELECT count(DISTINCT a) FROM ways)),
-levels AS (SELECT root, node, min(level) AS level FROM walk GROUP BY root, node)"""
+  SELECT w.root, b, min(w.level) + 1 FROM walk w JOIN ways ON a = w.node
+    LEFT JOIN recurring.walk k ON k.root = w.root AND k.node = b WHERE k.node IS NULL GROUP BY w.root, b),
+levels AS MATERIALIZED (SELECT root, node, level FROM walk)"""
 LEVEL_WEIGHTS = f"""{LEVELS},
-weights AS (SELECT p, length(CAST(count(*) AS VARCHAR)) AS weight FROM edges GROUP BY p),
-sums AS (SELECT x.root, least(x.level, y.level) AS level, CAST(sum(weight) AS DOUBLE) AS w
-  FROM edges JOIN weights USING (p) JOIN levels x ON x.node = s JOIN levels y ON y.node = o AND y.root = x.root
-  GROUP BY 1, 2),
+weighted AS MATERIALIZED (SELECT s, o, length(CAST(count(*) OVER (PARTITION BY p) AS VARCHAR)) AS weight FROM edges),
+near AS MATERIALIZED (SELECT root || ' ' || o AS far, root, level, weight FROM weighted JOIN levels ON node = s),
+ends AS MATERIALIZED (SELECT root || ' ' || node AS far, level AS far_level FROM levels),
+sums AS (SELECT root, least(level, far_level) AS level, CAST(sum(weight) AS DOUBLE) AS w
+  FROM near JOIN ends USING (far) GROUP BY 1, 2),
 ranked AS (SELECT root, count(*) AS n_levels, round(var_pop(w), 2) AS weight_var FROM sums GROUP BY root)
 SELECT root, n_levels, weight_var FROM ranked"""
 
