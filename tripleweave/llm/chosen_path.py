@@ -13,7 +13,7 @@ by one tree with a probability of 0.33, by all with 0.00002, and by 0.03 at wors
 
 What is linked is certain: every link is decided on the whole sets, with integers. Documents with equal sets
 are one class from the start, of which one text only is looked at. The first ``EARLY`` trees go first; then
-linked classes get a common root, and nodes whose members have one root are not compared again. So
+most linked classes get a common root, and nodes whose members have one root are not compared again. So
 of a group of near copies only a spanning part of the links is ever written, and connected groups cost
 later trees nothing. Signatures travel with the members of a node; whole sets follow only those whose signature
 resembles another's.
@@ -363,49 +363,53 @@ def _large_links(large: DataFrame, signatures: DataFrame, sets: _Sets, level: in
     return found, on
 
 
+def _towards_roots(new: list[DataFrame]) -> DataFrame:
+    """``(rep, root)`` of linked classes after two steps towards the smallest class reachable: enough to tell most
+    linked members of a node, for a small part of the rounds that whole components take."""
+    edges = reduce(DataFrame.unionByName, new)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = cut(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    top = low.select(F.col("rep").alias("root"), F.col("root").alias("top"))
+    found = cut(skew_join(low, top, ["root"]).select("rep", F.col("top").alias("root")))
+    discard(low)
+    return found
+
+
 def links(signatures: DataFrame, members: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(rep, root)`` of classes that are linked with others.
 
-    ``signatures(rep, signature)`` has the classes, ``members(key, rep, late)`` deals them to nodes, of which the
-    ``late`` ones wait for the links of the others, and ``fetch`` gives the whole sets ``(rep, shingles)`` of some.
+    ``signatures(rep, signature)`` has the classes, ``members(key, rep)`` deals them to nodes, of which those with odd keys
+    wait for the links of the others, and ``fetch`` gives the whole sets ``(rep, shingles)`` of some.
     """
     short = cut(map_batches(signatures, _shortened, "rep bigint, signature binary"))
-    late = members.groupBy("key").agg(F.count("*").alias("n"), F.first("late").alias("late")).filter("n > 1")
-    crowded = cut(skew_join(members.select("key", "rep"), late, ["key"]))
+    crowded = _open(members.select("key", "rep", F.col("rep").alias("root")))
     small, large = crowded.filter(F.col("n") <= LEAF), crowded.filter(F.col("n") > LEAF)
     sets = _Sets(fetch)
-    near = _near(_rooted(small, None), short)
+    near = _near(small, short)
     whole = sets.of(near)
-    turns = crowded.select("key", "late").distinct()
-    near = skew_join(near.select("key", "rep"), turns, ["key"])
-    found = None
-    for turn in (F.col("late") == 0, F.col("late") == 1):
-        now = _open(_rooted(near.filter(turn), found))
-        new = [_close(now.drop("n", "low"), whole)]
-        discard(now)
-        now, level = _open(_rooted(large.filter(turn), found)), 0
-        while not now.isEmpty():
-            if level:
-                some = _near(now.filter(F.col("n") <= LEAF), short)
-                new.append(_close(some, sets.of(some)))
-                discard(some)
-            big = now.filter(F.col("n") > LEAF)
-            if big.isEmpty():
-                break
+    found, new = None, []
+    for turn in (0, 1):
+        mine = F.col("key").bitwiseAND(F.lit(1).cast("long")) == turn
+        now = near.filter(mine) if found is None else _open(_rooted(near.filter(mine), found)).drop("n", "low")
+        new.append(_close(now, whole))
+        now, level = large.filter(mine), 0
+        if found is not None:
+            now = _open(_rooted(now, found))
+        while not (big := now.filter(F.col("n") > LEAF)).isEmpty():
             by_leaders, on = _large_links(big, signatures, sets, level)
             new.append(by_leaders)
-            discard(now, collect=True)
             now, level = _open(on), level + 1
-            discard(on)
-        before = [found.toDF("a", "b")] if found is not None else []
-        after = cut(components(reduce(DataFrame.unionByName, [*before, *new])).toDF("rep", "root"))
-        for table in [*before, *new, now]:
-            discard(table)
-        found = after
-    for table in (crowded, short):
+            discard(on, collect=True)
+            some = _near(now.filter(F.col("n") <= LEAF), short)
+            new.append(_close(some, sets.of(some)))
+            discard(some)
+        if found is None:
+            found = _towards_roots(new)
+    out = cut(components(reduce(DataFrame.unionByName, new)).toDF("rep", "root"))
+    for table in (crowded, short, near, found, *new):
         discard(table)
     sets.discard()
-    return found
+    return out
 
 
 def near_duplicates(
@@ -442,15 +446,18 @@ def near_duplicates(
         texts = skew_join(own, owners, ["id"]).select("rep", "class", "text")
         return map_batches(texts, run, "rep bigint, shingles binary").dropDuplicates(["rep"])
 
-    zipped = linked.select("rep", F.explode(F.arrays_zip("trees", "keys")).alias("x"))
-    members = zipped.select(F.col("x.keys").alias("key"), "rep", (F.col("x.trees") >= EARLY).cast("int").alias("late"))
+    # The lowest bit of a key tells whether its node waits for others.
+    even = lambda key: F.col(key).bitwiseAND(F.lit(-2).cast("long"))
+    zipped = linked.select("rep", F.explode(F.arrays_zip("trees", "keys")).alias("x")).select("rep", "x.*")
+    late = (F.col("trees") >= EARLY).cast("long")
+    members = zipped.select((even("keys") + late).alias("key"), "rep")
     if fingerprints:
         tables = (
             F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")))
             for t, m in enumerate(masks(list(range(64))))
         )
-        dealt = linked.select(F.explode(F.array(*tables)).alias("key"), "rep", F.lit(0).alias("late"))
-        members = members.unionByName(dealt)
+        dealt = linked.select(F.explode(F.array(*tables)).alias("key"), "rep")
+        members = members.unionByName(dealt.select(even("key").alias("key"), "rep"))
     roots = links(linked.select("rep", "signature"), members, sets_of)
     told = skew_join(classes, roots, ["rep"], "left").select("class", "least", "n", F.coalesce("root", "rep").alias("root"))
     told = cut(told)
