@@ -53,12 +53,74 @@ def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
     held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     right = [(scores[r.doc_id] >= toxicity.THRESHOLD) == bool(r.toxic) for r in held]
     assert sum(right) / len(right) > 0.85
+    toxic = [scores[r.doc_id] >= toxicity.THRESHOLD for r in held if r.toxic]
+    assert sum(toxic) / len(toxic) > 0.6
     pairs = [(scores[a.doc_id], scores[b.doc_id]) for a in held if a.toxic for b in held if not b.toxic]
     assert sum(a > b for a, b in pairs) / len(pairs) > 0.9
     kept = toxicity.reject(frame, labels)
     assert kept.columns == frame.columns
 
 
+def _plain(model, words):
+    """The logit of one window, word by word and number by number."""
+    p, size = {k: v.astype(float) for k, v in model.p.items()}, toxicity.HIDDEN
+    inputs = []
+    for w in words:
+        padded = b" " + w + b" "
+        grams = [
+            ((padded[i] * 0x9E37 + padded[i + 1] * 0x79B9 + padded[i + 2] * 0x3C6F1) * 0x2545F491 >> 11) % toxicity.TRIGRAMS
+            for i in range(len(w))
+        ]
+        chars = [sum(p["chars"][g][k] for g in grams) / len(grams) for k in range(toxicity.CHAR_DIM)]
+        inputs.append([*p["words"][model.known.get(w, 0)], *chars])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    sides = []
+    for d, order in ((0, inputs), (1, inputs[::-1])):
+        h, states = [0.0] * size, []
+        for x in order:
+            a = [sum(v * p["input"][d][i][j] for i, v in enumerate(x)) + p["bias"][d][0][j] for j in range(3 * size)]
+            b = [sum(h[i] * p["state"][d][i][j] for i in range(size)) for j in range(3 * size)]
+            z = [sigmoid(a[j] + b[j]) for j in range(size)]
+            r = [sigmoid(a[size + j] + b[size + j]) for j in range(size)]
+            c = [np.tanh(a[2 * size + j] + r[j] * b[2 * size + j]) for j in range(size)]
+            h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(size)]
+            states.append(h)
+        sides.append(states if d == 0 else states[::-1])
+    both = [f + b for f, b in zip(*sides)]
+    energy = []
+    for s in both:
+        inner = [np.tanh(sum(v * p["attend"][i][j] for i, v in enumerate(s)) + p["attend_bias"][j]) for j in range(toxicity.ATTENTION)]
+        energy.append(np.exp(sum(v * w for v, w in zip(inner, p["attend_out"]))))
+    pooled = [sum(e * s[k] for e, s in zip(energy, both)) / sum(energy) for k in range(2 * size)]
+    return sum(v * w for v, w in zip(pooled, p["out"])) + p["out_bias"][0]
+
+
+def test_scores_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    vocabulary = [b"a", b"bad", b"good", "\u00e9t\u00e9".encode(), b"longer", b"w0rd"]
+    model = toxicity.Model({b"bad": 1, b"good": 2}, rng)
+    model.slope, model.offset = 1.5, -0.25
+    docs = [[vocabulary[i] for i in rng.integers(0, 6, n)] for n in (1, 5, 48, 49, 130)]
+    for words, score in zip(docs, model.scores(docs)):
+        best = max(_plain(model, words[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(len(words)))
+        assert score == pytest.approx(1 / (1 + np.exp(-(1.5 * best - 0.25))), abs=1e-4)
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    rows = [(i, f"text {i}", "old", i) for i in (1, 2, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, Score string, __score int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, toxic int")
+    scored = toxicity.with_score(docs, labels)
+    assert scored.columns == ["doc_id", "text", "__score", "score"]
+    assert all(0 <= r.score <= 1 for r in scored.collect())
+    assert toxicity.reject(docs, labels, threshold=2).columns == docs.columns
+    assert toxicity.reject(docs, labels, threshold=2).count() == 4
+    ids = [r[0] for r in toxicity.sample(docs.unionByName(docs), labels).collect()]
+    assert len(ids) == len(set(ids))
+    with pytest.raises(ValueError):
+        toxicity.with_score(docs, labels, score_col="Text")
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1), (7, 0), (None, 1), (2, None)], "doc_id bigint, toxic int")

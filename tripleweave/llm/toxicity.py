@@ -13,7 +13,8 @@ Scoring runs in tasks with the model broadcast; its size depends on the paramete
 
 Defined cases: a null or wordless text is one empty window. A null id is scored and counts as not held
 out. Repeated rows are scored one by one. Labels of documents that are absent, null labels and labels of
-held-out ids are not used; several labels of one id count as toxic if one is. Without a toxic and a clean
+held-out ids are not used; several labels of one id count as toxic if one is; of several texts of one id the
+least in order is learned from. Without a toxic and a clean
 document in the sample there is nothing to learn and every score is 0. Other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tripleweave.llm import gru
 from tripleweave.llm.arrow import map_batches, raw_texts, share, slices
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 1 << 15
 MIN_DOCS = 8
@@ -276,7 +277,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most MAX_TOXIC + MAX_CLEAN ids.
     chosen = F.broadcast(draw(1, MAX_TOXIC).unionByName(draw(0, MAX_CLEAN)))
     own = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("text"))
-    return own.join(chosen, "__id").select("__id", "text", "toxic")
+    # One row per id: an id on very many rows must not reach the driver as often.
+    return own.join(chosen, "__id").groupBy("__id", "toxic").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
@@ -295,18 +297,26 @@ def _scorer(model: Model | None, text_col: str) -> Callable[[pa.RecordBatch], pa
 
 
 def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score"):
-    """``docs`` with a score between 0 and 1; ``labels`` is ``(doc_id, toxic)``."""
+    """``docs`` with a score between 0 and 1; ``labels`` is ``(doc_id, toxic)``. A column of the score's name, in
+    whatever case, is replaced unless it is the text."""
+    if score_col.lower() == text_col.lower():
+        raise ValueError(f"the score cannot take the name of the text, {text_col}")
     shared = share(docs.sparkSession, train(docs, labels, id_col, text_col))
 
+    kept = docs.drop(*(c for c in docs.columns if c.lower() == score_col.lower()))
+
     def run(batches):
         score = _scorer(shared(), text_col)
         for batch in slices(batches, text_col, 1 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, score(batch)], names=[*batch.schema.names, score_col])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, run, f"{fields}, `{score_col}` double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return map_batches(kept, run, f"{fields}, `{score_col}` double")
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD):
-    """``docs`` whose score is below the threshold."""
-    return with_score(docs, labels, id_col, text_col, "__score").filter(F.col("__score") < threshold).drop("__score")
+    """``docs`` whose score is below the threshold, with all their columns."""
+    name = "__score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return with_score(docs, labels, id_col, text_col, name).filter(F.col(name) < threshold).drop(name)
