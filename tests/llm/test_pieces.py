@@ -1,5 +1,6 @@
 """Parity with the sentencepiece library, round trips and hand-made models."""
 
+import random
 import struct
 
 import pytest
@@ -26,6 +27,41 @@ def test_ids_are_those_of_sentencepiece(spark):
     assert pieces.encode(docs.limit(0), MODEL).count() == 0
 
 
+def _codec():
+    raw = open(MODEL, "rb").read()
+    model = pieces.parse(raw)
+    return pieces.Codec(model, pieces.build(model).to_str()), sentencepiece.SentencePieceProcessor(model_proto=raw)
+
+
+def test_parity_by_word_is_parity_of_the_text():
+    codec, reference = _codec()
+    rng = random.Random(1)
+    parts = [" ", "  ", "a", "word", "\u2581", "<s>", "<unk>", "<0x0A>", "\n", "\t", "\x00", "é", "日本", "🎉", "\u0301", "x" * 60, "\u00a0", "."]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    ids, back, parity = codec.encode(texts, reference)
+    assert parity == [reference.encode(t) == own for t, own in zip(texts, ids)]
+    assert back == codec.whole.decode_batch([reference.encode(t) for t in texts], skip_special_tokens=False)
+
+
+def test_wrong_ids_are_noticed():
+    codec, reference = _codec()
+
+    class Swapped:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **kw):
+            return [type("E", (), {"ids": e.ids[::-1]}) for e in self.inner.encode_batch_fast(texts, **kw)]
+
+        def decode_batch(self, *args, **kw):
+            return self.inner.decode_batch(*args, **kw)
+
+    codec.words = Swapped(codec.words)
+    text = "Unquestionably incomprehensible"
+    ids, back, parity = codec.encode([text, ""], reference)
+    assert back[0] != text and parity == [False, True] and back[1] == ""
+
+
 def _field(number, value):
     if isinstance(value, int):
         return bytes([number << 3 & 127 | 128 if number > 15 else number << 3, *([number >> 4] if number > 15 else []), value])

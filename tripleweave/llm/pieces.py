@@ -5,7 +5,8 @@ for spaces, the scores (unigram) or the merges that scores imply (byte-pair), an
 without a piece. Texts are encoded in batches over several threads, and each text's ids are compared with
 those of the sentencepiece library over the same model. Where no piece of a model goes on after the end of a
 word, a word has the same ids in any text: then the different words of a task are encoded and decoded once,
-up to ``KNOWN`` at a time.
+up to ``KNOWN`` at a time, and compared with sentencepiece once where the model leaves words as they are. A decoded
+text is joined from what the ids of its words stand for, never from the text.
 
 Defined cases: a null or empty text has no ids and counts as equal. Repeated rows are encoded one by one,
 null ids pass through, other columns are ignored. An empty table gives an empty result.
@@ -162,7 +163,8 @@ class Codec:
         self.words = Tokenizer.from_str(description) if by_word(model) else None
         self.names = [p if kind == NORMAL else "" for p, _, kind in model.pieces]
         self.known: dict[str, tuple[int, ...]] = {}
-        self.odd: dict[str, str] = {}  # words whose ids decode to something else than the word
+        self.told: dict[str, str] = {}  # what the ids of known words decode to
+        self.apart: set[str] = set()  # known words that sentencepiece encodes otherwise
         self.prefix = MARK if model.dummy_prefix else ""
         self.plain = not model.charsmap and not model.squeeze
         if self.words is not None:
@@ -175,36 +177,52 @@ class Codec:
             return self.whole.normalizer.normalize_str(text)
         return self.prefix + text.replace(" ", MARK) if text else ""
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids of texts, and the texts that the ids decode to."""
+    def encode(self, texts: list[str], reference) -> tuple[list[list[int]], list[str], list[bool]]:
+        """Ids of texts, the texts that the ids decode to, and whether the ids are those of ``reference``."""
         if self.words is None:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            return ids, self.whole.decode_batch(ids, skip_special_tokens=False)
+            return ids, self.whole.decode_batch(ids, skip_special_tokens=False), self._same(texts, ids, reference)
         normal = [self._normal(t) for t in texts]
         split = [WORD.findall(t) for t in normal]
         if len(self.known) > KNOWN:
             self.known.clear()
-        self._learn(list({w for words in split for w in words if w not in self.known}))
-        find = self.known.__getitem__
-        ids = [list(chain.from_iterable(map(find, words))) for words in split]
-        decoded = [self._decoded(t, words) for t, words in zip(normal, split)]
-        return ids, decoded
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, and decode those whose pieces are not simply the word cut up."""
+            self.told.clear()
+            self.apart.clear()
+        # Words are taken as they are only if the model neither changes characters nor drops spaces.
+        whole = not (self.plain and self.prefix)
+        self._learn(list({w for words in split for w in words if w not in self.known}), None if whole else reference)
+        ids = [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        decoded = [self._joined(words) for words in split]
+        if whole:
+            return ids, decoded, self._same(texts, ids, reference)
+        # A lone marker, which only ends a text, is no text that sentencepiece could be given.
+        alone = lambda t, own, words: words[-1:] != [MARK] or reference.encode(t) == own
+        parity = [self.apart.isdisjoint(w) and alone(t, i, w) for t, i, w in zip(texts, ids, split)]
+        return ids, decoded, parity
+
+    @staticmethod
+    def _same(texts: list[str], ids: list[list[int]], reference) -> list[bool]:
+        return [reference.encode(t) == own for t, own in zip(texts, ids)]
+
+    def _learn(self, words: list[str], reference) -> None:
+        """Encode new words, decode their ids and, given a reference, compare the two encodings."""
         # Tuples of numbers are of no interest to the garbage collector, lists would be walked again and again.
         found = [tuple(e.ids) for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
         self.known.update(zip(words, found))
+        # Pieces that are characters stand for themselves; words with other pieces go through the decoder.
         name = self.names.__getitem__
-        unlike = [(w, ids) for w, ids in zip(words, found) if "".join(map(name, ids)) != w]
-        back = self.words.decode_batch([ids for _, ids in unlike], skip_special_tokens=False)
-        self.odd |= {w: b for (w, _), b in zip(unlike, back) if b != w.replace(MARK, " ")}
-
-    def _decoded(self, normal: str, words: list[str]) -> str:
-        if self.odd and not self.odd.keys().isdisjoint(words):
-            text = "".join([self.odd.get(w, w.replace(MARK, " ")) for w in words])
-        else:
-            text = normal.replace(MARK, " ")
+        plain = [all(map(name, ids)) for ids in found]
+        self.told.update((w, "".join(map(name, ids)).replace(MARK, " ")) for w, ids, p in zip(words, found, plain) if p)
+        other = [(w, ids) for w, ids, p in zip(words, found, plain) if not p]
+        back = self.words.decode_batch([ids for _, ids in other], skip_special_tokens=False)
+        self.told.update((w, b) for (w, _), b in zip(other, back))
+        if reference is not None:
+            # Every word begins with the marker, the first of which sentencepiece puts there itself.
+            theirs = reference.encode([w[1:].replace(MARK, " ") for w in words])
+            self.apart |= {w for w, own, ids in zip(words, found, theirs) if (list(own) != ids or w[0] != MARK) and w != MARK}
+
+    def _joined(self, words: list[str]) -> str:
+        text = "".join(map(self.told.__getitem__, words))
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -234,8 +252,7 @@ def encode(
         reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in slices(batches, "text", SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, back = codec.encode(texts)
-            parity = [reference.encode(t) == own for t, own in zip(texts, ids)]
+            ids, back, parity = codec.encode(texts, reference)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
