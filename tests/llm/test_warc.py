@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 from pathlib import Path
 
 from tripleweave.llm import warc
@@ -28,6 +29,8 @@ def test_derivatives_of_a_page(spark):
     assert lines == [
         "http-status: 200",
         "http-content-type: text/html; charset=utf-8",
+        "http-header: Content-Type: text/html; charset=utf-8",
+        f"http-header: Content-Length: {len(PAGE.encode())}",
         f"source-block-digest: {origin.block_digest}",
         "source-payload-digest: sha256:" + hashlib.sha256(PAGE.encode()).hexdigest(),
         "title: A title",
@@ -67,3 +70,45 @@ def test_written_files_are_records(spark, tmp_path):
         data = data[4:]
         seen.append(fields["WARC-Record-ID"])
     assert sorted(seen) == sorted(r.record_id for r in made.collect())
+
+
+def made_of(spark, blocks):
+    rows = [(str(i), "response", "u", "d", bytearray(b)) for i, b in enumerate(blocks)]
+    schema = "record_id string, type string, uri string, date string, block binary"
+    records = spark.createDataFrame(rows, schema).selectExpr(
+        "*", "CAST(NULL AS STRING) AS block_digest", "CAST(NULL AS STRING) AS payload_digest"
+    )
+    return {(int(r.refers_to), r.type): bytes(r.block).decode() for r in warc.derive(records).collect()}
+
+
+def test_marks_left_open(spark):
+    pages = [
+        b"<p>a</p><!-- b <p>c</p>",
+        b"<p>a</p><script>b <p>c</p>",
+        b"<head><title>t<p>a</p>",
+        b"<nav>a</nav>b<nav>c",
+        b"<p>1 < 2</p> 3 < 4",
+        b"<script>x = '<!--'</script><p>a</p>",
+        b"<a>x</a><A title=\"y\" href=\"/z\">y</a><a href=\"/open",
+    ]
+    found = made_of(spark, pages)
+    texts = [found[i, "conversion"] for i in range(len(pages))]
+    assert texts == ["a", "a", "t\na", "bc", "1 < 2\n3 < 4", "a", "xy<a href=\"/open"]
+    assert [x for x in found[6, "metadata"].split("\r\n") if x.startswith("outlink")] == ["outlink: /z"]
+
+
+def test_long_pages_of_open_marks(spark):
+    marks = ["<!--x", "<script ", "<style ", "<head ", "<nav ", "<title ", "<html ", "<a ", "<p ", "<", 'href="', "> <a "]
+    began = time.monotonic()
+    found = made_of(spark, [(m * (1_000_000 // len(m))).encode() for m in marks])
+    assert len(found) == 2 * len(marks)
+    assert time.monotonic() - began < 60
+
+
+def test_charsets_and_repeated_rows(spark):
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={}\r\n\r\n"
+    latin = head.format('"ISO-8859-1"').encode() + b"caf\xe9 \x80"
+    found = made_of(spark, [latin, head.format("utf-8").encode() + "é".encode(), head.format("x-none").encode() + b"\xff"])
+    assert [found[i, "conversion"] for i in range(3)] == ["café €", "é", "\ufffd"]
+    pages = spark.createDataFrame([(1, "u", PAGE)] * 3, "page_id bigint, url string, html string")
+    assert warc.derive(warc.responses(pages)).count() == 6

@@ -13,9 +13,9 @@ c AS (SELECT *, 'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(
       || length(coalesce(url, '')) || ':' || coalesce(url, '') || '64:' || sha256(block)) AS h FROM b),
 d AS (SELECT *, '<urn:uuid:' || regexp_replace(h, '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', '\1-\2-5\3-8\4-\5')
     || '>' AS id FROM c),
-e AS (SELECT *, regexp_replace(regexp_replace(translate(regexp_replace(html,
-      '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<nav\b.*?</nav>', ' ', 'g'),
-      chr(13) || chr(10) || chr(9) || chr(11) || chr(12), '     '),
+e AS (SELECT *, regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)', ' ', 'g'),
+      '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), chr(13) || chr(10) || chr(9) || chr(11) || chr(12), '     '),
       '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|main|body|html)\b[^>]*>',
       chr(10), 'g'), '<[^>]*>', '', 'g') AS raw,
     regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) AS title,
@@ -29,6 +29,8 @@ f AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(replace(repla
     '<urn:uuid:' || regexp_replace(mh, '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', '\1-\2-5\3-8\4-\5') || '>' AS mid
   FROM e),
 g AS (SELECT *, 'http-status: 200' || nl || 'http-content-type: text/html; charset=utf-8' || nl
+      || 'http-header: Content-Type: text/html; charset=utf-8' || nl
+      || 'http-header: Content-Length: ' || octet_length(encode(html)) || nl
       || 'source-block-digest: ' || block_digest || nl || 'source-payload-digest: ' || payload_digest || nl
       || CASE WHEN trim(title) <> '' THEN 'title: ' || regexp_replace(trim(title), ' *[\r\n]+ *', ' ', 'g') || nl ELSE '' END
       || CASE WHEN lang <> '' THEN 'language: ' || regexp_replace(lang, ' *[\r\n]+ *', ' ', 'g') || nl ELSE '' END

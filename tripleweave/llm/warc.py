@@ -3,16 +3,21 @@
 Records are rows: ``record_id, type, uri, date, content_type, refers_to, concurrent_to, block_digest,
 payload_digest, block`` with the block as binary. From each response come one conversion record with the
 text of its page and one metadata record with what the response said about itself: status, headers, digests
-and the page's title, language and links. All header lines are written as ``http-header``, in order and with
-repeats and continued lines joined, as soon as there is one that the other lines do not tell: other than a single
-Content-Type, Server or Last-Modified, or a single Content-Length that is the body's length. Both name the response in ``refers_to``; the metadata record also
+and the page's title, language and links. All header lines are written as ``http-header``, in order, with
+repeats and with continued lines joined. Both name the response in ``refers_to``; the metadata record also
 names the conversion, as made at the same time. Ids are hashes of what they stand for, so that a task that
 runs twice makes the same records. Everything is DataFrame functions, row by row, without a shuffle.
 
+Text is found in time that grows with the length of the page, whatever is left open in it: a comment, script
+or style without an end goes on to the end of the page; a ``head`` or ``nav`` without an end hides nothing, and
+a ``<`` with no ``>`` after it is text. A tag ends at its first ``>``; links are the double-quoted ``href`` of
+``a`` tags, the language is that of the first ``html`` tag.
+
 Defined cases: a null html is a response with an empty body, and has an empty conversion. A null url leaves
 the target out. Repeated pages give repeated records; a null page id counts as empty in the id. Blocks that
 are no HTTP response have no headers, and all of the block as body. Other columns are ignored. Empty tables
-give no records. Bytes that are no UTF-8 are replaced in texts; digests are always of the bytes.
+give no records. A body is read as Windows-1252 where its Content-Type names one of ``LATIN``, else as UTF-8,
+with bytes that are none replaced; digests are always of the bytes.
 """
 
 from __future__ import annotations
@@ -35,10 +40,15 @@ FIELDS = {
     "content_type": "Content-Type",
 }
 # Elements whose content is not text of the page, and elements that start a new line.
-SILENT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<nav\b.*?</nav>"
+RAW = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)"
+SILENT = ["head", "nav"]
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|main|body|html)\b[^>]*>"
 # The entities of markup itself and the commonest other one.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# Names that stand for Windows-1252, and its characters from byte 0x80 on (undefined ones stay).
+LATIN = ["windows-1252", "cp1252", "iso-8859-1", "iso8859-1", "latin1", "us-ascii", "ascii"]
+LATIN_80 = bytes(range(0x80, 0xA0)).decode("latin-1")
+WINDOWS_80 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
 
 def digest(block: Column) -> Column:
@@ -76,11 +86,27 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     )
 
 
+def _up_to_last(text: Column, end: str) -> Column:
+    return F.regexp_extract(text, f"(?is)^.*{end}", 0)
+
+
+def _replace_closed(text: Column, end: str, pattern: str, by: str) -> Column:
+    """Replace a pattern that ends in ``end``, searched only where an end still follows.
+
+    So no search runs to the end of the text in vain, and again from the next opening mark.
+    """
+    closed = _up_to_last(text, end)
+    return F.concat(F.regexp_replace(closed, pattern, by), F.substr(text, F.length(closed) + 1))
+
+
 def page_text(html: Column) -> Column:
     """The text of a page: one line per block, white space collapsed, markup's entities resolved once."""
-    out = F.regexp_replace(html, SILENT, " ")
-    out = F.regexp_replace(F.translate(out, "\r\n\t\x0b\x0c", "     "), BREAKS, "\n")
-    out = F.regexp_replace(out, "<[^>]*>", "")
+    out = F.regexp_replace(html, RAW, " ")
+    for name in SILENT:
+        out = _replace_closed(out, f"</{name}>", rf"(?is)<{name}\b.*?</{name}>", " ")
+    out = F.translate(out, "\r\n\t\x0b\x0c", "     ")
+    out = _replace_closed(out, ">", BREAKS, "\n")
+    out = _replace_closed(out, ">", "<[^>]*>", "")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(F.regexp_replace(out, " +", " "), r" *\n[ \n]*", "\n")
@@ -102,8 +128,14 @@ def derive(records: DataFrame) -> DataFrame:
         records.filter("type = 'response'")
         .withColumn("__head", F.when(http, F.concat(before, F.lit(CRLF))).otherwise(""))
         .withColumn("__body", F.when(http, F.substr("block", split + 5)).otherwise(F.col("block")))
-        .withColumn("__html", _utf8(F.col("__body")))
+        .withColumn("__kind", _utf8(_header(F.col("__head"), "Content-Type")))
+        .withColumn("__html", _decoded(F.col("__body"), F.col("__kind")))
+        .withColumn("__tags", _up_to_last(F.col("__html"), ">"))
     )
+    after_title = F.regexp_extract("__tags", r"(?is)<title\b[^>]*>(.*)", 1)
+    first_html = F.regexp_extract("__tags", r"(?i)<html\b([^>]*)>", 1)
+    anchors = F.regexp_extract_all("__tags", F.lit(r"(?i)<a\b([^>]*)>"), F.lit(1))
+    href = r'(?is)^.*\bhref="([^"]*)"'
     said = parts.select(
         "record_id",
         "uri",
@@ -111,12 +143,14 @@ def derive(records: DataFrame) -> DataFrame:
         "block_digest",
         F.coalesce("payload_digest", digest(F.col("__body"))).alias("payload_digest"),
         F.regexp_extract("__head", r"^HTTP/[0-9.]+ ([0-9]+)", 1).alias("status"),
-        *(_utf8(_header(F.col("__head"), n)).alias(k) for k, n in (("kind", "Content-Type"), ("server", "Server"), ("changed", "Last-Modified"))),
+        F.col("__kind").alias("kind"),
+        *(_utf8(_header(F.col("__head"), n)).alias(k) for k, n in (("server", "Server"), ("changed", "Last-Modified"))),
         F.regexp_extract_all(F.regexp_replace(_utf8(F.col("__head")), r"\r\n[ \t]+", " "), F.lit(r"\r\n([^\r\n]+)"), F.lit(1)).alias("headers"),
-        F.octet_length("__body").cast("string").alias("length"),
-        F.regexp_extract("__html", r"(?is)<title\b[^>]*>(.*?)</title>", 1).alias("title"),
-        F.regexp_extract("__html", r'(?is)<html\b[^>]*\blang="([^"]*)"', 1).alias("lang"),
-        F.regexp_extract_all("__html", F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1)).alias("links"),
+        F.regexp_extract(after_title, r"(?is)^(.*?)</title>", 1).alias("title"),
+        F.regexp_extract(first_html, r'(?is)^.*\blang="([^"]*)"', 1).alias("lang"),
+        F.transform(
+            F.filter(anchors, lambda x: x.rlike(href)), lambda x: F.regexp_extract(x, href, 1)
+        ).alias("links"),
         page_text(F.col("__html")).alias("text"),
     )
     told = said.withColumn("conversion_id", record_id("conversion", F.col("record_id"))).withColumn(
@@ -125,20 +159,13 @@ def derive(records: DataFrame) -> DataFrame:
     line = lambda name, value: F.when(
         value != "", F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r" *[\r\n]+ *", " "), F.lit(CRLF))
     )
-    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
-    value = lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))
-    told_else = lambda x: name(x).isin("content-type", "server", "last-modified") | (
-        (name(x) == "content-length") & (value(x) == F.col("length"))
-    )
-    single = F.size(F.array_distinct(F.transform("headers", name))) == F.size("headers")
-    headers = F.when(single & F.forall("headers", told_else), F.array().cast("array<string>")).otherwise(F.col("headers"))
     about = F.concat_ws(
         "",
         line("http-status", F.col("status")),
         line("http-content-type", F.col("kind")),
         line("http-server", F.col("server")),
         line("http-last-modified", F.col("changed")),
-        F.array_join(F.transform(headers, lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF))), ""),
+        F.array_join(F.transform("headers", lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF))), ""),
         line("source-block-digest", F.col("block_digest")),
         line("source-payload-digest", F.col("payload_digest")),
         line("title", F.trim("title")),
@@ -181,6 +208,13 @@ def _utf8(data: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(data.cast("string")), F.make_valid_utf8(data.cast("string")))
 
 
+def _decoded(body: Column, kind: Column) -> Column:
+    """A body as text, by the charset of its Content-Type."""
+    charset = F.lower(F.regexp_extract(F.coalesce(kind, F.lit("")), r"""(?i)charset *= *["']?([^\s;"']+)""", 1))
+    latin = F.translate(F.decode(body, "ISO-8859-1"), LATIN_80, WINDOWS_80)
+    return F.when(charset.isin(LATIN), latin).otherwise(_utf8(body))
+
+
 def serialise(records: DataFrame) -> DataFrame:
     """``(record_id, record)``: every record as the bytes of a WARC file, ready to be joined in any order."""
     named = (
