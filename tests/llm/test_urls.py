@@ -63,3 +63,40 @@ def test_varying_segments_become_wildcards(spark):
 
 def test_empty_tables(spark):
     assert judged(spark, []) == {}
+
+
+def test_wildcards_are_made_from_the_root_down(spark):
+    names = [f"n{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    # Every name has only a few slugs; together, below one wildcard, they vary.
+    shapes = [("h", f"u/{name}/{name}{k}x/edit", 1) for name in names for k in "ab"] + [("h", "u", 5), ("g", "u/a/b", 1)]
+    schema = "host string, shape string, n bigint"
+    found = {tuple(r.template) for r in urls.templates(spark.createDataFrame(shapes, schema)).collect()}
+    assert found == {("u", "*", "*", "edit"), ("u",), ("u", "a", "b")}
+    often = [(h, shape, 1000 * n) for h, shape, n in shapes]
+    assert found == {tuple(r.template) for r in urls.templates(spark.createDataFrame(often, schema)).collect()}
+    common = [*shapes, ("h", "u/common/x/edit", 60)]
+    assert ("u", "common", "x", "edit") in {
+        tuple(r.template) for r in urls.templates(spark.createDataFrame(common, schema)).collect()
+    }
+
+
+def test_the_limit_follows_labels_held_back(spark):
+    rows, labels = [], []
+    for i in range(2000):
+        branch = ("a", "b", "c")[i % 3]
+        rows.append((i, f"http://h.org/{branch}/{i}"))
+        labels.append((i, i % 10 < {"a": 9, "b": 8, "c": 3}[branch]))
+    got = judged(spark, rows, labels)
+    assert [got[i].verdict for i in range(3)] == ["allow", "allow", "block"]
+    good = judged(spark, rows, [(i, True) for i, _ in rows])
+    assert {r.verdict for r in good.values()} == {"allow"}
+
+
+def test_no_ids_repeated_rows_and_very_long_paths(spark):
+    deep = "http://h.org/" + "/".join(f"s{i}" for i in range(100_000))
+    rows = [(None, "http://h.org/a/1"), (None, "http://h.org/a/1"), (7, deep), (7, deep)]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in rows], PAGES)
+    marks = spark.createDataFrame([(7, False), (None, False)], "page_id bigint, good boolean")
+    found = urls.judge(pages, marks).collect()
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in found) == [(0, "h.org", "allow")] * 2 + [(7, "h.org", "allow")] * 2
+    assert [r.path for r in found if r.page_id == 7] == [deep.removeprefix("http://h.org")] * 2

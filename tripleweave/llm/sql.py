@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tripleweave.llm.licenses import GAP, RULES, SENTENCES
+from tripleweave.llm.urls import LEVELS
 
 OP1 = r"""
 WITH a AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl FROM pages),
@@ -137,49 +138,69 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
+#: One level of the tree: variable children of a node become one, before the next level is counted.
+OP9_LEVEL = r"""
+wide{d} AS (SELECT host, node FROM (SELECT host, node, segs[{d} + 1] AS seg, sum(pages) AS n FROM level{d}
+  WHERE len(segs) > {d} GROUP BY ALL) GROUP BY ALL HAVING count(*) > 50 AND 10 * max(n) <= sum(n)),
+level{e} AS MATERIALIZED (SELECT l.host AS host, shape, pages, segs, CASE WHEN len(segs) <= {d} THEN l.node ELSE
+  {before} (CASE WHEN w.host IS NULL THEN segs[{d} + 1] ELSE '*' END) END AS node
+  FROM level{d} AS l LEFT JOIN wide{d} AS w ON l.host = w.host AND l.node = w.node),"""
+OP9_LEVELS = "".join(
+    OP9_LEVEL.format(d=d, e=d + 1, before="l.node || '/' ||" if d else "") for d in range(LEVELS + 1)
+)
 OP9 = r"""
 WITH a AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://')
     THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-p AS (SELECT *, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS whole FROM b),
+p AS MATERIALIZED (SELECT r, page_id, host, path, array_to_string(list_concat(list_transform(whole[1:8],
     lambda x: CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z]+)?$')
         THEN '<n>' || regexp_extract(x, '^[0-9]+(\.[A-Za-z]+)?$', 1)
       WHEN regexp_matches(x, '^[0-9A-Za-z_-]{12,}(\.[A-Za-z]+)?$') AND regexp_matches(x, '^[^.]*[0-9]')
         THEN '<t>' || regexp_extract(x, '^[0-9A-Za-z_-]{12,}(\.[A-Za-z]+)?$', 1)
-      ELSE x END), '/') AS shape,
-    try_cast(nullif(regexp_extract(path, '([0-9]+)(\.[A-Za-z]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM b),
+      ELSE x END), CASE WHEN len(whole) > 8 THEN ['<rest>'] ELSE [] END), '/') AS shape,
+    try_cast(nullif(regexp_extract(path, '([0-9]+)(\.[A-Za-z]+)?/?$', 1), '') AS BIGINT) AS doc_id FROM s),
 rules(verdict, h, q) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
     ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-hit AS (SELECT r, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+hit AS MATERIALIZED (SELECT r, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY r),
 l AS (SELECT doc_id, bool_and(quality = 1 AND toxic = 0) AS good FROM labels GROUP BY doc_id),
 marks AS (SELECT page_id, bool_and(good) AS good FROM p JOIN l USING (doc_id) GROUP BY page_id),
-shapes AS (SELECT host, shape, count(*) AS n, count(good) AS n_labels, count(*) FILTER (good) AS good
-  FROM p LEFT JOIN marks USING (page_id) GROUP BY host, shape),
-steps AS (SELECT host, shape, n, string_split(shape, '/') AS segs,
-    unnest(range(len(string_split(shape, '/')))) AS depth FROM shapes),
-nodes AS (SELECT host, shape, n, depth, segs[depth + 1] AS seg, array_to_string(segs[1:depth], '/') AS parent
-  FROM steps),
-wide AS (SELECT host, depth, parent FROM (SELECT host, depth, parent, seg, sum(n) AS n FROM nodes GROUP BY ALL)
-  GROUP BY ALL HAVING count(*) > 50 AND sum(n) <= count(*) * 3.0),
-named AS (SELECT host, shape, array_to_string(list(CASE WHEN w.host IS NULL THEN seg ELSE '*' END
-    ORDER BY depth), '/') AS template FROM nodes LEFT JOIN wide AS w USING (host, depth, parent)
-  GROUP BY host, shape),
-labelled AS (SELECT host, template, sum(n_labels) AS n, sum(good) AS good
-  FROM named JOIN shapes USING (host, shape) GROUP BY host, template),
+known AS (SELECT host, shape, good, verdict IS NULL AS free,
+    coalesce(substr(md5(page_id::VARCHAR), 1, 1) < '4', false) AS held
+  FROM p LEFT JOIN marks USING (page_id) LEFT JOIN hit USING (r)),
+shapes AS MATERIALIZED (SELECT host, shape, count(*) AS pages, count(good) FILTER (NOT held) AS n,
+    count(*) FILTER (good AND NOT held) AS good, count(good) FILTER (held AND free) AS held_n,
+    count(*) FILTER (good AND held AND free) AS held_good FROM known GROUP BY host, shape),
+level0 AS MATERIALIZED (SELECT host, shape, pages, string_split(shape, '/') AS segs, '' AS node FROM shapes),
+""" + OP9_LEVELS + r"""
+named AS MATERIALIZED (SELECT host, shape, node AS template FROM level9),
+labelled AS MATERIALIZED (SELECT host, template, sum(n) AS n, sum(good) AS good, sum(held_n) AS held_n,
+    sum(held_good) AS held_good FROM named JOIN shapes USING (host, shape) GROUP BY host, template),
 t AS (SELECT *, string_split(template, '/') AS segs FROM labelled),
-ladder AS (SELECT host, template, n, good, depth, array_to_string(segs[1:depth], '/') AS node
+ladder AS MATERIALIZED (SELECT * EXCLUDE (segs), array_to_string(segs[1:depth], '/') AS node
   FROM (SELECT *, unnest(range(len(segs) + 1)) AS depth FROM t)),
-stats AS (SELECT host, depth, node, sum(n) AS n, sum(good) AS good FROM ladder GROUP BY ALL),
+stats AS MATERIALIZED (SELECT host, depth, node, sum(n) AS n, sum(good) AS good FROM ladder GROUP BY ALL),
 pairs AS (SELECT c.*, (u.good + 1) / (u.n + 2) AS share FROM stats AS c JOIN stats AS u ON c.host = u.host
   AND c.depth = u.depth + 1 AND u.node = array_to_string(string_split(c.node, '/')[1:u.depth], '/')),
 alone AS (SELECT host, depth, node FROM pairs
   WHERE n > 0 AND abs(good / n - share) > 2.576 * sqrt(share * (1 - share) / n)),
-placed AS (SELECT ladder.host, template, any_value(n) AS n, any_value(good) AS good,
+placed AS MATERIALIZED (SELECT ladder.host, template, any_value(n) AS n, any_value(good) AS good,
+    any_value(held_n) AS held_n, any_value(held_good) AS held_good,
     arg_max(node, depth) AS branch FROM ladder LEFT JOIN alone USING (host, depth, node)
   WHERE depth = 0 OR alone.host IS NOT NULL GROUP BY ladder.host, template),
-bad AS (SELECT host, branch FROM placed GROUP BY ALL HAVING (sum(good) + 20) / (sum(n) + 20) < 0.5)
+rate AS (SELECT coalesce(sum(good)::DOUBLE / sum(n)::DOUBLE, 0.0::DOUBLE) AS rate FROM placed),
+pooled AS MATERIALIZED (SELECT host, branch, sum(held_n) AS held_n, sum(held_good) AS held_good,
+    (sum(good) + 2.0::DOUBLE * any_value(rate)) / (sum(n) + 2.0::DOUBLE) AS purity, any_value(rate) AS rate
+  FROM placed, rate GROUP BY host, branch),
+tried AS (SELECT k, sum(CASE WHEN purity < rate * k / 20 THEN held_n - held_good ELSE 0 END) AS hit_bad,
+    sum(CASE WHEN purity < rate * k / 20 THEN held_good ELSE 0 END) AS hit_good,
+    sum(held_n - held_good) AS bad, sum(held_good) AS good
+  FROM pooled, range(1, 19) AS ks(k) WHERE held_n > 0 GROUP BY k),
+best AS (SELECT k FROM (SELECT k, hit_bad * good - hit_good * bad AS gain FROM tried) WHERE gain > 0
+  ORDER BY gain DESC, k LIMIT 1),
+bad AS (SELECT host, branch FROM pooled, best WHERE purity < rate * k / 20)
 SELECT page_id, p.host AS host, path, rule,
   coalesce(verdict, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN hit USING (r) JOIN named ON p.host = named.host AND p.shape = named.shape
