@@ -85,3 +85,22 @@ def test_clean_keeps_rows_and_columns(spark):
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.clean(frame.withColumnRenamed("__size", "block")).collect()}
     assert got == {1: ("one " + passage, 4 + len(passage), "a"), 2: ("twoend", 6, "b"), 4: (None, None, None), 5: ("  ", 2, "c")}
     assert suffix_dedup.clean(frame.drop("__size").limit(0)).count() == 0
+
+
+def test_a_passage_in_every_document_has_no_large_group(spark):
+    rng = random.Random(4)
+    say = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = say(200)
+    docs = [(i, say(60) + passage + say(60)) for i in range(1500)] + [(1500, None), (3, docs_text := say(60) + passage * 2)]
+    docs += [(3, docs_text)] * 2
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    bucket, length = 2000, 50
+    known, buckets = suffix_dedup._known(frame, "doc_id", "text", length, 4000, bucket)
+    plainly = lambda blob: len(suffix_dedup._unpack(blob))
+    sizes = {}
+    for r in suffix_dedup._strings(known, buckets, length).collect():
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + plainly(r.blob)
+    assert max(sizes) >= buckets, "some bucket should be split"
+    assert max(sizes.values()) < 2 * suffix_dedup.HOT * bucket
+    found = suffix_dedup.scan(frame, length=length, block=4000, bucket=bucket).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == plain(docs, length)

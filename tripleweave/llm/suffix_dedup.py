@@ -8,15 +8,18 @@ bytes is assigned, by its content alone, to an anchor: its first 16-byte gram of
 have equal anchors, so it suffices to sort suffixes anchor by anchor, and only where an anchor occurs in
 more than one document. Documents are packed into blocks of about ``BLOCK`` bytes; the passes are
 
-1. every block sends the set of its anchors, six bytes each, to buckets, which answer with one bit per
-   anchor: whether another document has it;
+1. every block sends the set of its anchors, seven bytes each, to buckets, which answer with one bit per
+   anchor, whether another document has it, and into how many parts the bucket is split;
 2. every block sends, for those, the strings their windows cover, equal ones once with the smallest id;
    a bucket builds the suffix array of its strings (``suffixes.sort_windows``), takes neighbours with a
    common prefix of LENGTH together, and answers with one bit per window: whether a smaller id has it;
 3. every block removes what is covered.
 
-A passage in a third of all documents thus reaches a bucket once per block, not once per document. What
-passes write is deleted as soon as it is read for the last time.
+A passage in a third of all documents thus reaches a bucket once per block, not once per document. The strings
+at its edges do differ from document to document, yet have the passage's anchors. So anchors are sent with the
+bytes of their strings, and a bucket that would get more than ``HOT`` times its share is split: its strings are cut
+into single windows, which a hash of all their bytes deals to the parts. Equal windows meet in one part. What passes
+write is deleted as soon as it is read for the last time.
 
 Defined cases: a null text is empty and stays null. A null id counts as larger than any other; documents
 with equal ids, or without, do not remove each other's bytes. Texts below LENGTH bytes are left alone.
@@ -42,6 +45,8 @@ from tripleweave.session import cut, discard
 LENGTH = 50
 BLOCK = 2 << 20
 BUCKET = 3 << 20
+HOT = 8  # a bucket with strings of more than this many times BUCKET bytes is split
+GROWTH = 16  # bytes of single windows, with their ids, per byte of the strings they are cut from
 LAST = np.iinfo(np.int64).max
 TAG = np.uint64((1 << 47) - 1)
 PACKED = "block bigint, size bigint, data binary, rest binary"
@@ -105,7 +110,7 @@ class _Block:
     def __init__(self, data: bytes, rest: bytes, buckets: int, length: int):
         with pa.ipc.open_stream(_unpack(rest)) as stream:
             self.rest = stream.read_next_batch()
-        self.length = length
+        self.length, self.buckets = length, buckets
         self.bytes = _unpack(data)
         self.data = np.frombuffer(self.bytes, np.uint8)
         self.ends = np.cumsum(self.rest.column("__size").to_numpy())
@@ -120,22 +125,42 @@ class _Block:
         self.count = np.diff(np.append(self.first, len(order)))
 
     def tags(self) -> Iterator[tuple[int, int, bytes]]:
-        """Per bucket the anchors, six bytes each; the top bit tells that two documents here have it."""
+        """Per bucket the anchors, seven bytes each.
+
+        Six bytes are the anchor, their top bit telling that two documents here have it; the seventh is the
+        binary logarithm, rounded up, of the bytes of its strings.
+        """
         last = self.first + self.count - 1
         several = (self.id[self.first] != self.id[last]).astype(np.uint64)
         packed = (self.tag[self.first] | several << np.uint64(47)).astype("<u8")
-        packed = packed.view(np.uint8).reshape(-1, 8)[:, :6]
+        packed = packed.view(np.uint8).reshape(-1, 8)[:, :7].copy()
+        if len(packed):
+            size = np.add.reduceat(self.stop - self.start + self.length - 1, self.first)
+            packed[:, 6] = np.ceil(np.log2(size))
         own = self.bucket[self.first]
         for a, b in _groups(own):
             yield int(own[a]), b - a, packed[a:b].tobytes()
 
-    def keep(self, bits: dict[int, bytes]) -> None:
-        """Drop the runs of anchors that no other document has, and find equal strings."""
+    def keep(self, answers: list[dict] | None) -> None:
+        """Drop the runs of anchors that no other document has, split hot buckets, and find equal strings."""
         own, repeated = self.bucket[self.first], np.zeros(len(self.first), bool)
+        parts = np.ones(len(self.first), np.int64)
+        told = {a["bucket"]: a for a in answers or []}
         for a, b in _groups(own):
-            repeated[a:b] = np.unpackbits(np.frombuffer(bits[int(own[a])], np.uint8), count=b - a)
-        runs = np.repeat(repeated, self.count)
-        self.start, self.stop, self.bucket, self.id = (x[runs] for x in (self.start, self.stop, self.bucket, self.id))
+            answer = told[int(own[a])]
+            repeated[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a)
+            parts[a:b] = answer["parts"]
+        runs, parts = np.repeat(repeated, self.count), np.repeat(parts, self.count)
+        split = runs & (parts > 1)
+        whole = runs & ~split
+        windows = (self.stop - self.start)[split]
+        place = _expand(self.start[split], windows)
+        dealt = (span_hashes(self.data, place, place + self.length) >> np.uint64(33)).astype(np.int64)
+        part = self.buckets * (1 + dealt % np.repeat(parts[split], windows)) + np.repeat(self.bucket[split], windows)
+        self.bucket = np.concatenate([self.bucket[whole], part])
+        self.id = np.concatenate([self.id[whole], np.repeat(self.id[split], windows)])
+        self.stop = np.concatenate([self.stop[whole], place + 1])
+        self.start = np.concatenate([self.start[whole], place])
         size = self.stop - self.start + self.length - 1
         hashes = span_hashes(self.data, self.start, self.start + size)
         order = np.lexsort((self.id, hashes, size, self.bucket))
@@ -167,19 +192,18 @@ class _Block:
             at = self.first[a:b]
             windows = self.stop[at] - self.start[at]
             bits = np.unpackbits(np.frombuffer(_unpack(answers[int(own[a])]), np.uint8), count=windows.sum())
-            places = np.repeat(self.start[at] - (np.cumsum(windows) - windows), windows) + np.arange(len(bits))
+            places = _expand(self.start[at], windows)
             hit[places[bits.astype(bool)]] = True
             # Equal strings of later documents lose all of their windows to the first one here.
             lead = np.repeat(at, self.count[a:b])
             span = np.arange(at[0], at[0] + len(lead))
             later = span[self.id[span] > self.id[lead]]
             size = self.stop[later] - self.start[later]
-            hit[np.repeat(self.start[later] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = True
+            hit[_expand(self.start[later], size)] = True
             # Those with the very id of the first one share its answer.
             twin = span[(self.id[span] == self.id[lead]) & (span != lead)]
-            for t, first in zip(twin.tolist(), lead[twin - at[0]].tolist()):
-                n = self.stop[t] - self.start[t]
-                hit[self.start[t] : self.start[t] + n] |= hit[self.start[first] : self.start[first] + n]
+            size = self.stop[twin] - self.start[twin]
+            hit[_expand(self.start[twin], size)] |= hit[_expand(self.start[lead[twin - at[0]]], size)]
         sums = np.concatenate([[0], np.cumsum(hit)])
         n = np.arange(len(hit))
         return sums[n + 1] > sums[np.maximum(n - self.length + 1, 0)]
@@ -193,20 +217,34 @@ def _groups(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(bounds[:-1], bounds[1:]))
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Which anchors of each block occur in another document: one bit each."""
-    tags = []
+def _expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of runs, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _repeated(table: pa.Table, bucket: int) -> pa.Table:
+    """Which anchors of each block occur in another document, one bit each, and the parts of the bucket."""
+    tags, logs = [], []
     for blob in table.column("blob").to_pylist():
-        wide = np.zeros((len(blob) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+        rows = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+        wide = np.zeros((len(rows), 8), np.uint8)
+        wide[:, :6] = rows[:, :6]
         tags.append(wide.view("<u8").ravel())
+        logs.append(rows[:, 6])
     flat = np.concatenate(tags)
     _, place, count = np.unique(flat & TAG, return_inverse=True, return_counts=True)
     several = count > 1
     several[place[flat > TAG]] = True
+    size = int(np.exp2(np.concatenate(logs)[several[place]].astype(float)).sum())
+    parts = 1 if size <= HOT * bucket else -(-size * GROWTH // bucket)
     bits = np.split(several[place], np.cumsum([len(t) for t in tags])[:-1])
     return pa.table(
-        {"block": table.column("block"), "bucket": table.column("bucket"), "bits": [np.packbits(b).tobytes() for b in bits]}
+        {
+            "block": table.column("block"),
+            "bucket": table.column("bucket"),
+            "bits": [np.packbits(b).tobytes() for b in bits],
+            "parts": pa.array([parts] * len(bits), pa.int64()),
+        }
     )
 
 
@@ -248,8 +286,8 @@ def _minima(table: pa.Table, length: int) -> pa.Table:
     )
 
 
-ANSWER = "block bigint, bucket int, bits binary"
-SENT = "bucket int, block bigint, n bigint, blob binary"
+ANSWER = "block bigint, bucket bigint, bits binary"
+SENT = "bucket bigint, block bigint, n bigint, blob binary"
 
 
 def _send(blocks: DataFrame, use: Callable, buckets: int, length: int) -> DataFrame:
@@ -261,7 +299,7 @@ def _send(blocks: DataFrame, use: Callable, buckets: int, length: int) -> DataFr
                 sent = list(use(row, _Block(row["data"], row["rest"], buckets, length)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([b for b, _, _ in sent], pa.int32()),
+                        pa.array([b for b, _, _ in sent], pa.int64()),
                         pa.array([row["block"]] * len(sent), pa.int64()),
                         pa.array([n for _, n, _ in sent], pa.int64()),
                         pa.array([x for _, _, x in sent], pa.binary()),
@@ -274,7 +312,8 @@ def _send(blocks: DataFrame, use: Callable, buckets: int, length: int) -> DataFr
 
 def _answered(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """Blocks with the answers of all buckets to them; a block without any has null."""
-    own = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    parts = [c for c in answers.columns if c != "block"]
+    own = answers.groupBy("block").agg(F.collect_list(F.struct(*parts)).alias(name))
     return blocks.join(own, "block", "left")
 
 
@@ -282,7 +321,8 @@ def _as_dict(answers: list[dict] | None) -> dict[int, bytes]:
     return {a["bucket"]: a["bits"] for a in answers or []}
 
 
-def _mark(docs: DataFrame, id_col: str, text_col: str, length: int, block: int, bucket: int, finish: Callable, schema: str):
+def _known(docs: DataFrame, id_col: str, text_col: str, length: int, block: int, bucket: int) -> tuple[DataFrame, int]:
+    """Blocks with what the buckets say of their anchors, and the number of buckets."""
     others = [c for c in docs.columns if c != text_col]
     own = docs.select(
         F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in others)
@@ -290,21 +330,32 @@ def _mark(docs: DataFrame, id_col: str, text_col: str, length: int, block: int,
     packed = cut(map_batches(own, lambda it: _blocks(it, block), PACKED))
     buckets = max(1, -(-(packed.agg(F.sum("size")).first()[0] or 0) // bucket))
     tags = _send(packed, lambda row, b: b.tags(), buckets, length)
-    known = cut(_answered(packed, map_groups(tags, "bucket", _repeated, ANSWER), "repeated"))
+    told = map_groups(tags, "bucket", lambda t: _repeated(t, bucket), ANSWER + ", parts bigint")
+    known = cut(_answered(packed, told, "repeated"))
     discard(packed, collect=True)
+    return known, buckets
+
+
+def _strings(known: DataFrame, buckets: int, length: int) -> DataFrame:
+    """What the blocks send to the buckets and their parts."""
 
     def strings(row, b):
-        b.keep(_as_dict(row["repeated"]))
+        b.keep(row["repeated"])
         return b.strings()
 
-    sent = _send(known, strings, buckets, length)
+    return _send(known, strings, buckets, length)
+
+
+def _mark(docs: DataFrame, id_col: str, text_col: str, length: int, block: int, bucket: int, finish: Callable, schema: str):
+    known, buckets = _known(docs, id_col, text_col, length, block, bucket)
+    sent = _strings(known, buckets, length)
     minima = cut(map_groups(sent, "bucket", lambda t: _minima(t, length), ANSWER))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Block(row["data"], row["rest"], buckets, length)
-                b.keep(_as_dict(row["repeated"]))
+                b.keep(row["repeated"])
                 yield finish(b, b.covered(_as_dict(row["minima"])))
 
     return map_batches(_answered(known, minima, "minima"), run, schema)
