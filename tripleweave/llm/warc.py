@@ -86,8 +86,9 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     )
 
 
-def _up_to_last(text: Column, end: str) -> Column:
-    return F.regexp_extract(text, f"(?is)^.*{end}", 0)
+def _tags(text: Column) -> Column:
+    """The text up to its last ``>``."""
+    return F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, ">", -1)))
 
 
 def _replace_closed(text: Column, end: str, pattern: str, by: str) -> Column:
@@ -95,7 +96,7 @@ def _replace_closed(text: Column, end: str, pattern: str, by: str) -> Column:
 
     So no search runs to the end of the text in vain, and again from the next opening mark.
     """
-    closed = _up_to_last(text, end)
+    closed = F.regexp_extract(text, f"(?is)^.*{end}", 0)
     return F.concat(F.regexp_replace(closed, pattern, by), F.substr(text, F.length(closed) + 1))
 
 
@@ -105,8 +106,8 @@ def page_text(html: Column) -> Column:
     for name in SILENT:
         out = _replace_closed(out, f"</{name}>", rf"(?is)<{name}\b.*?</{name}>", " ")
     out = F.translate(out, "\r\n\t\x0b\x0c", "     ")
-    out = _replace_closed(out, ">", BREAKS, "\n")
-    out = _replace_closed(out, ">", "<[^>]*>", "")
+    marked = F.regexp_replace(F.regexp_replace(_tags(out), BREAKS, "\n"), "<[^>]*>", "")
+    out = F.concat(marked, F.substring_index(out, ">", -1))
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(F.regexp_replace(out, " +", " "), r" *\n[ \n]*", "\n")
@@ -130,7 +131,7 @@ def derive(records: DataFrame) -> DataFrame:
         .withColumn("__body", F.when(http, F.substr("block", split + 5)).otherwise(F.col("block")))
         .withColumn("__kind", _utf8(_header(F.col("__head"), "Content-Type")))
         .withColumn("__html", _decoded(F.col("__body"), F.col("__kind")))
-        .withColumn("__tags", _up_to_last(F.col("__html"), ">"))
+        .withColumn("__tags", _tags(F.col("__html")))
     )
     after_title = F.regexp_extract("__tags", r"(?is)<title\b[^>]*>(.*)", 1)
     first_html = F.regexp_extract("__tags", r"(?i)<html\b([^>]*)>", 1)
