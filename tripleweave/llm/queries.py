@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from tripleweave.llm import (
     urls,
     warc,
 )
-from tripleweave.session import tune
+from tripleweave.session import cut, tune
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,13 @@ def op3_quality_ledger(spark, sf_dir):
     )
 
 
+def quality_ablations(spark, sf_dir):
+    """What each rule of each policy does: documents failing it, failing only it, and kept without it."""
+    book = cut(quality.ledger(_table(tune(spark), sf_dir, "documents")).select("failed"))
+    found = [quality.ablations(book, policy) for policy in quality.POLICIES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def op4_license_rules(spark, sf_dir):
     """Licences with their first places, and the identifiers in order, as text."""
     found = licenses.recognise(_table(tune(spark), sf_dir, "documents"))
@@ -194,5 +203,6 @@ def queries():
         op11_chosen_path,
         op12_lexical_search,
         op13_periodic_runs,
+        quality_ablations,
     ]
     return {f.__name__: f for f in found}

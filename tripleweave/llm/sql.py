@@ -90,6 +90,17 @@ def _values(rows) -> str:
 
 
 STEPS = [(i, licence, k, name) for i, (licence, names) in enumerate(RULES) for k, name in enumerate(names)]
+QUALITY_ABLATIONS = OP3[: OP3.rindex("SELECT doc_id, n_words::BIGINT")].rstrip() + r""",
+rules(rule, bit) AS (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbol_heavy', 4), ('repeated_lines', 8),
+    ('word_length', 16), ('shouting', 32)),
+policies(policy, mask) AS (VALUES ('2024-base', 3), ('2024-full', 63)),
+c AS (SELECT policy, failed & mask AS bits, count(*) AS n FROM f, policies GROUP BY ALL)
+SELECT policy, rule, coalesce(sum(n) FILTER ((bits & bit) <> 0), 0)::BIGINT AS n_failing,
+  coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS n_only_this,
+  coalesce(sum(n) FILTER ((bits & ~bit) = 0), 0)::BIGINT AS n_kept_without
+FROM policies JOIN rules ON (mask & bit) <> 0 LEFT JOIN c USING (policy) GROUP BY policy, rule
+"""
+
 OP4 = rf"""
 WITH RECURSIVE known(name, said) AS (VALUES {_values(SENTENCES.items())}),
 steps(rule, license, k, name) AS (VALUES {_values(STEPS)}),
@@ -262,6 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_derivatives": OP1,
         "op2_chat_prefix_tree": OP2,
         "op3_quality_ledger": OP3,
+        "quality_ablations": QUALITY_ABLATIONS,
         "op4_license_rules": OP4,
         "op8_decontamination": OP8,
         "op9_url_templates": OP9,
