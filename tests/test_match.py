@@ -6,10 +6,13 @@ import random
 import pytest
 from helpers import TYPE, brute_force, frame, solutions
 
+from tripleweave.operators import match
+from tripleweave.operators.joins import skew_join
 from tripleweave.operators.match import (
     count_solutions,
     exists_pattern,
     extend_closed,
+    join_order,
     match_bgp,
     match_components,
     merge_bindings,
@@ -150,6 +153,45 @@ def test_weights_change_the_plan_not_the_answer(spark):
         assert solutions(match_bgp(df, patterns, weights=weights)) == wanted
 
 
+FIVE = [
+    ("?ord", "<placedBy>", "?cust"),
+    ("?cust", "<fromNation>", "?nat"),
+    ("?sup", "<basedIn>", "?nat"),
+    ("?part", "<soldBy>", "?sup"),
+    ("?ord", "<contains>", "?part"),
+]
+
+
+def test_a_cycle_is_not_grown_through_a_hub(spark):
+    """Orders meet the suppliers of their nation only together with their parts, never all of them."""
+    assert [len(step) for step in join_order(FIVE, {})] == [1, 1, 1, 2]
+    triples = [(f"o{i}", "<placedBy>", f"c{i}") for i in range(30)] + [(f"c{i}", "<fromNation>", "n") for i in range(30)]
+    triples += [(f"o{i}", "<contains>", f"p{i}") for i in range(30)] + [(f"s{i}", "<basedIn>", "n") for i in range(40)]
+    triples += [(f"p{i}", "<soldBy>", f"s{(i + k) % 40}") for i in range(30) for k in range(20)]
+    triples += [("o1", "<placedBy>", "c2"), ("p1", "<soldBy>", "elsewhere"), ("o3", "<contains>", "p4")]
+    found = match_bgp(frame(spark, triples), FIVE)
+    assert solutions(found) == brute_force(triples, FIVE)
+
+
+@pytest.mark.parametrize("few", [0, 3, 100])
+@pytest.mark.parametrize("single", [False, True])
+def test_extend_closed_in_each_way(spark, monkeypatch, few, single):
+    """Values of the new variable once in a scan, few of them per node, and counted ones give the same rows."""
+    monkeypatch.setattr(match, "FEW", few)
+    rng = random.Random(few)
+    triples = {(f"a{rng.randrange(12)}", "<e>", f"b{rng.randrange(12)}") for _ in range(50)}
+    triples |= {(f"b{rng.randrange(12)}", "<f>", f"c{rng.randrange(12)}") for _ in range(50)}
+    triples |= {(f"a{rng.randrange(12)}", "<g>", f"c{i if single else rng.randrange(12)}") for i in range(12 if single else 50)}
+    wedge = [("?x", "<e>", "?y"), ("?y", "<f>", "?z"), ("?x", "<g>", "?z")]
+    assert solutions(match_bgp(frame(spark, sorted(triples)), wedge)) == brute_force(sorted(triples), wedge)
+
+
+def test_a_join_key_of_its_own_shuffles_no_hash(spark):
+    left = frame(spark, [("a", "p", "b")])
+    plan = skew_join(left, left, ["s"])._jdf.queryExecution().analyzed().toString()
+    assert "pmod" in plan and "xxhash64" not in plan
+
+
 def test_extend_closed_with_three_scans(spark):
     rng = random.Random(3)
     triples = sorted(
