@@ -25,7 +25,7 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, by exact similarity of five-word shingles, the smallest id stays."""
+    """Of each group of near-duplicates, by SimHash or exact similarity of five-word shingles, the smallest id stays."""
     return near_copies.deduplicate(docs)
 
 

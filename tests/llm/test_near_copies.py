@@ -55,3 +55,15 @@ def test_stage_drops_a_copy_with_one_word_more_or_changed(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
+
+
+def test_stage_links_by_fingerprint_too(spark, monkeypatch):
+    """Texts within three bits of each other but below 0.8 are one group, and links of both kinds are followed."""
+    words = [f"word{i}" for i in range(100)]
+    changed = words[:50] + ["changed"] + words[51:]
+    rows = [(1, "a b c d e f g h"), (2, " ".join(words)), (3, " ".join(changed)), (4, "nothing like the others"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marked = spark.createDataFrame([(1, 7, 1), (3, 5, 1), (2, 99, 2), (4, 98, 4), (None, 97, None)], "doc_id bigint, fp bigint, component_id bigint")
+    assert sorted(r.doc_id or 0 for r in near_copies.deduplicate(docs).collect()) == [0, 1, 2, 4]
+    monkeypatch.setattr(near_copies.simhash, "near_duplicates", lambda *a: marked)
+    assert sorted(r.doc_id or 0 for r in near_copies.deduplicate(docs).collect()) == [0, 1, 4]
