@@ -186,6 +186,27 @@ def test_extend_closed_in_each_way(spark, monkeypatch, few, single):
     assert solutions(match_bgp(frame(spark, sorted(triples)), wedge)) == brute_force(sorted(triples), wedge)
 
 
+def test_a_closed_step_shuffles_a_binding_once(spark):
+    """Continuations meet the check as an array: no join sees a row per binding and continuation."""
+    bound = spark.createDataFrame([(f"a{i}", f"b{i % 3}") for i in range(6)], "x string, y string")
+    grown = spark.createDataFrame([(f"a{i}", f"c{i + k}") for i in range(6) for k in range(5)], "x string, z string")
+    check = spark.createDataFrame([(f"b{i}", f"c{i + 2 * k}") for i in range(3) for k in range(20)], "y string, z string")
+    found = extend_closed(bound, [grown, check])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode") < plan.index("Join")
+    assert solutions(found) == solutions(bound.join(grown, "x").join(check, ["y", "z"]).select("x", "y", "z"))
+
+
+def test_a_closed_step_keeps_repeats_and_drops_nulls(spark):
+    bound = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "d"), (None, "b"), ("a", None)], "x string, y string")
+    grown = spark.createDataFrame([("a", "c"), ("a", "c"), ("a", "e"), ("a", None), (None, "c")], "x string, z string")
+    check = spark.createDataFrame(
+        [("b", "c"), ("b", "c"), ("b", "e"), ("d", "e"), ("d", None), (None, "c")], "y string, z string"
+    )
+    found = extend_closed(bound, [grown, check])
+    assert solutions(found) == solutions(bound.join(grown, "x").join(check, ["y", "z"]).select("x", "y", "z"))
+
+
 def test_a_join_key_of_its_own_shuffles_no_hash(spark):
     left = frame(spark, [("a", "p", "b")])
     plan = skew_join(left, left, ["s"])._jdf.queryExecution().analyzed().toString()
