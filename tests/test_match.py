@@ -26,6 +26,7 @@ from tripleweave.operators.scans import (
     filter_by_properties,
     scan_pattern,
 )
+from tripleweave.session import cut
 
 CASES = {
     "parallel": (
@@ -207,6 +208,19 @@ def test_a_closed_step_keeps_repeats_and_drops_nulls(spark):
     assert solutions(found) == solutions(bound.join(grown, "x").join(check, ["y", "z"]).select("x", "y", "z"))
 
 
+def test_pruned_scans_are_written_once(spark, monkeypatch):
+    """What a scan is filtered by is not joined again for every other scan and step."""
+    triples = [(f"a{i}", "p", f"b{i % 4}") for i in range(8)] + [(f"b{i}", "q", f"c{i}") for i in range(3)]
+    triples += [(f"c{i}", "r", f"d{i}") for i in range(1, 4)] + [("d1", "s", "e"), ("d2", "s", "e")]
+    path = [("?a", "p", "?b"), ("?b", "q", "?c"), ("?c", "r", "?d"), ("?d", "s", "?e")]
+    written = []
+    monkeypatch.setattr(match, "cut", lambda df: written.append(df.columns) or cut(df))
+    found = match_bgp(frame(spark, triples), path, prune=True)
+    assert sorted(written) == [["b", "c"], ["c", "d"]]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert solutions(found) == brute_force(triples, path)
+
+
 def test_a_join_key_of_its_own_shuffles_no_hash(spark):
     left = frame(spark, [("a", "p", "b")])
     plan = skew_join(left, left, ["s"])._jdf.queryExecution().analyzed().toString()
