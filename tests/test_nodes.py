@@ -3,6 +3,8 @@
 from helpers import TYPE, frame, solutions
 
 from tripleweave.operators import nodes, stats
+from tripleweave.plans import catalog
+from tripleweave.sources import tables
 
 TRIPLES = [
     ("b", "p", "a"),
@@ -76,3 +78,28 @@ def test_weights_and_degrees(spark):
     assert solutions(stats.node_degrees(edges)) == [("a", 4), ("b", 1), ("c", 1)]
     assert tuple(stats.top_degree_node(edges).first()) == ("a", 4)
     assert tuple(stats.top_degree_node(frame(spark, [("y", "p", "x")])).first()) == ("x", 1)
+
+
+def test_nodes_of_the_view_need_no_distinct_triples(spark, tmp_path):
+    """Repeats go when nodes are made distinct: one shuffle, and one scan of the lines for all their predicates."""
+    rows = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (1, None, None)]),
+        "customer": ("c_custkey int, c_name string, c_nationkey int, c_mktsegment string", [(1, "C", 0, "M")]),
+        "supplier": ("s_suppkey int, s_name string, s_nationkey int", [(1, "S", 0)]),
+        "part": ("p_partkey int, p_name string, p_brand string", [(1, "P", "B")]),
+        "orders": ("o_orderkey int, o_custkey int, o_orderstatus string, o_orderpriority string", [(1, 1, "F", "H")] * 2),
+        "lineitem": (
+            "l_orderkey int, l_partkey int, l_suppkey int, l_returnflag string",
+            [(1, 1, 1, "A"), (1, 1, 1, "A"), (1, 2, None, "A"), (None, 1, 1, None)],
+        ),
+    }
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = catalog.queries()["distinct_nodes"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("struct<l_orderkey") == 1
+    stated = {n for r in tables.triples(spark, str(tmp_path)).collect() for n in (r["s"], r["o"])}
+    nodes_found = [r["node"] for r in found.collect()]
+    assert len(nodes_found) == len(set(nodes_found)) and set(nodes_found) == stated
