@@ -90,3 +90,20 @@ def test_unigram_models(byte_fallback):
 def test_broken_models_are_refused():
     with pytest.raises((ValueError, IndexError)):
         pieces.parse(open(MODEL, "rb").read()[:1000])
+
+
+def test_parts_that_no_piece_joins_are_learned_once():
+    codec, reference = _codec()
+    texts = ["alpha, beta.\nGamma", "alpha. beta,\nGamma!", "", "Gamma\n\n" + "beta " * 90_000 + "日本", "\U0001f389alpha"]
+    ids, back, parity = codec.encode(texts, reference)
+    assert ids == [reference.encode(t) for t in texts] and back == texts and all(parity)
+    assert "Gamma" in codec.known and not any(c in w[1:] for w in codec.known for c in ",.!\n")
+    assert len(codec.known) < 20
+
+
+def test_shared_kinds_of_characters_change_no_ids(monkeypatch):
+    monkeypatch.setattr(pieces, "KINDS", 16)
+    monkeypatch.setattr(pieces, "KNOWN", 5)
+    codec, reference = _codec()
+    for text in ["Mixed, words. été 日本 12345\n", "  other\twords, then ", "Mixed again\x00"]:
+        assert codec.encode([text, "a"], reference) == ([reference.encode(text), reference.encode("a")], [text, "a"], [True, True])

@@ -4,9 +4,10 @@ The model's protobuf is read field by field; from it a tokenizer is built anew:
 for spaces, the scores (unigram) or the merges that scores imply (byte-pair), and bytes for characters
 without a piece. Texts are encoded in batches over several threads, and each text's ids are compared with
 those of the sentencepiece library over the same model. Where no piece of a model goes on after the end of a
-word, a word has the same ids in any text: then the different words of a task are encoded and decoded once,
-up to ``KNOWN`` at a time, and compared with sentencepiece once where the model leaves words as they are. A decoded
-text is joined from what the ids of its words stand for, never from the text.
+word, a word has the same ids in any text, and in a byte-pair model so has what lies between two places where no piece has the
+two characters next to each other, as no merge can cross them: then the different parts of a task are encoded and decoded once,
+up to ``KNOWN`` at a time, and compared with sentencepiece once where the model leaves texts as they are. A decoded
+text is joined from what the ids of its parts stand for, never from the text.
 
 Defined cases: a null or empty text has no ids and counts as equal. Repeated rows are encoded one by one,
 null ids pass through, other columns are ignored. An empty table gives an empty result.
@@ -18,10 +19,11 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ from tripleweave.llm.arrow import map_batches, slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-SLICE = 1 << 18
+SLICE = 1 << 19
 THREADS = 2
 KNOWN = 200_000
+#: Numbers for characters that pieces join; with more characters than these some parts are longer than needed.
+KINDS = 2048
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -154,76 +158,150 @@ def build(model: Model):
 
 
 class Codec:
-    """Encodes and decodes texts; words once each where the model allows it."""
+    """Encodes and decodes texts; parts that no piece joins once each where the model allows it."""
 
     def __init__(self, model: Model, description: str):
         from tokenizers import Tokenizer, decoders, normalizers
 
-        self.whole = Tokenizer.from_str(description)
+        self.description = description
         self.words = Tokenizer.from_str(description) if by_word(model) else None
-        self.names = [p if kind == NORMAL else "" for p, _, kind in model.pieces]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.told: dict[str, str] = {}  # what the ids of known words decode to
-        self.apart: set[str] = set()  # known words that sentencepiece encodes otherwise
         self.prefix = MARK if model.dummy_prefix else ""
         self.plain = not model.charsmap and not model.squeeze
+        self.known: dict[str, int] = {}  # places of known parts in the three columns below
+        self.ids = pa.array([], pa.list_(pa.int32()))
+        self.told = pa.array([], pa.string())  # what the ids of known parts decode to
+        self.right = np.zeros(0, bool)  # whether sentencepiece has the same ids
         if self.words is not None:
             self.words.normalizer = normalizers.Sequence([])
             self.words.pre_tokenizer = None
             self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+            # Pieces that are characters stand for themselves; parts with other pieces go through the decoder.
+            self.names = pa.array([p.replace(MARK, " ") if kind == NORMAL else "" for p, _, kind in model.pieces])
+            self.named = np.array([kind == NORMAL and p != "" for p, _, kind in model.pieces])
+            # Unknown characters next to each other are one piece, unless they become bytes.
+            self.bytewise = model.byte_fallback and sum(kind == BYTE for _, _, kind in model.pieces) == 256
+            self._find_joints(model)
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.description)
+
+    def _find_joints(self, model: Model) -> None:
+        """Which characters stand next to each other in a piece, by kind; kinds beyond ``KINDS`` share numbers."""
+        fine = self.bytewise and model.kind == BPE
+        pairs = {p[i : i + 2] for p, _, kind in model.pieces if kind not in (UNKNOWN, CONTROL, BYTE) for i in range(len(p) - 1)}
+        chars = sorted({c for pair in pairs for c in pair} - {MARK})
+        number = {MARK: 1} | {c: 2 + i % (KINDS - 2) for i, c in enumerate(chars)}
+        self.kinds = np.zeros(0x110000, np.uint16)
+        self.kinds[[ord(c) for c in number]] = list(number.values())
+        self.joined = np.full((KINDS, KINDS), not fine)
+        if fine:
+            self.joined[[number[x] for x, _ in pairs], [number[y] for _, y in pairs]] = True
+        else:
+            self.joined[:, 1] = False
+            self.joined[1, 1] = True
+        # A character that joins with none, to put before parts that are given to sentencepiece.
+        self.lead = next(c for c in map(chr, range(0x110000)) if c not in number)
 
     def _normal(self, text: str) -> str:
         if not self.plain:
             return self.whole.normalizer.normalize_str(text)
         return self.prefix + text.replace(" ", MARK) if text else ""
 
-    def encode(self, texts: list[str], reference) -> tuple[list[list[int]], list[str], list[bool]]:
+    def _parts(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The parts of normal texts, one after the other, and the bounds of each text's own."""
+        line = "".join(texts)
+        starts, size = [], 0
+        ends = np.cumsum([0] + [len(t) for t in texts])
+        for at in range(0, len(line), SLICE):
+            # One character more on either side tells whether the outer ones are joined.
+            chars = np.frombuffer(line[max(at - 1, 0) : at + SLICE].encode("utf-32-le"), np.uint32)
+            kinds = self.kinds[chars]
+            new = np.concatenate([np.ones(int(at == 0), bool), ~self.joined[kinds[:-1], kinds[1:]]])
+            chars = chars[len(chars) - len(new) :]
+            new[ends[(ends >= at) & (ends < at + len(new))] - at] = True
+            widths = np.ones(len(chars), np.int32)
+            for least in (0x80, 0x800, 0x10000):
+                widths += chars >= least
+            before = np.cumsum(widths)
+            starts.append(size + (before - widths)[new])
+            size += int(before[-1])
+        data = line.encode()
+        offsets = np.concatenate([*starts, [size]]).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        bytes_before = np.cumsum([0] + [len(t.encode()) for t in texts])
+        return parts, np.searchsorted(offsets, bytes_before)
+
+    def columns(self, texts: list[str], reference) -> tuple[pa.ListArray, list[str], list[bool]]:
         """Ids of texts, the texts that the ids decode to, and whether the ids are those of ``reference``."""
         if self.words is None:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            return ids, self.whole.decode_batch(ids, skip_special_tokens=False), self._same(texts, ids, reference)
-        normal = [self._normal(t) for t in texts]
-        split = [WORD.findall(t) for t in normal]
+            back = self.whole.decode_batch(ids, skip_special_tokens=False)
+            return pa.array(ids, pa.list_(pa.int32())), back, self._same(texts, ids, reference)
         if len(self.known) > KNOWN:
             self.known.clear()
-            self.told.clear()
-            self.apart.clear()
-        # Words are taken as they are only if the model neither changes characters nor drops spaces.
-        whole = not (self.plain and self.prefix)
-        self._learn(list({w for words in split for w in words if w not in self.known}), None if whole else reference)
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
-        decoded = [self._joined(words) for words in split]
+            self.ids, self.told, self.right = self.ids[:0], self.told[:0], self.right[:0]
+        # Parts are taken as they are only if the model neither changes characters nor drops spaces.
+        whole = not (self.plain and self.prefix and self.bytewise)
+        parts, bounds = self._parts([self._normal(t) for t in texts])
+        coded = parts.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in different if w not in self.known], None if whole else reference)
+        places = np.array([self.known[w] for w in different], np.int64)[coded.indices.to_numpy()]
+        found = self.ids.take(pa.array(places))
+        ids = pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[bounds]), found.values)
+        back = self._joined(self.told.take(pa.array(places)), bounds)
         if whole:
-            return ids, decoded, self._same(texts, ids, reference)
-        # A lone marker, which only ends a text, is no text that sentencepiece could be given.
-        alone = lambda t, own, words: words[-1:] != [MARK] or reference.encode(t) == own
-        parity = [self.apart.isdisjoint(w) and alone(t, i, w) for t, i, w in zip(texts, ids, split)]
-        return ids, decoded, parity
+            return ids, back, self._same(texts, ids.to_pylist(), reference)
+        wrong = np.r_[0, np.cumsum(~self.right[places])]
+        return ids, back, (wrong[bounds[1:]] == wrong[bounds[:-1]]).tolist()
+
+    def encode(self, texts: list[str], reference) -> tuple[list[list[int]], list[str], list[bool]]:
+        """The same with ids as lists."""
+        ids, back, parity = self.columns(texts, reference)
+        return ids.to_pylist(), back, parity
 
     @staticmethod
     def _same(texts: list[str], ids: list[list[int]], reference) -> list[bool]:
         return [reference.encode(t) == own for t, own in zip(texts, ids)]
 
     def _learn(self, words: list[str], reference) -> None:
-        """Encode new words, decode their ids and, given a reference, compare the two encodings."""
-        # Tuples of numbers are of no interest to the garbage collector, lists would be walked again and again.
-        found = [tuple(e.ids) for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        self.known.update(zip(words, found))
-        # Pieces that are characters stand for themselves; words with other pieces go through the decoder.
-        name = self.names.__getitem__
-        plain = [all(map(name, ids)) for ids in found]
-        self.told.update((w, "".join(map(name, ids)).replace(MARK, " ")) for w, ids, p in zip(words, found, plain) if p)
-        other = [(w, ids) for w, ids, p in zip(words, found, plain) if not p]
-        back = self.words.decode_batch([ids for _, ids in other], skip_special_tokens=False)
-        self.told.update((w, b) for (w, _), b in zip(other, back))
+        """Encode new parts, decode their ids and, given a reference, compare the two encodings."""
+        if not words:
+            return
+        found = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        ids = pa.array(found, pa.list_(pa.int32()))
+        flat, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
+        names = self.names.take(ids.values)
+        told = pa.array(_joined_texts(names, bounds), pa.string())
+        other = np.add.reduceat(np.r_[~self.named[flat], False], bounds[:-1]).astype(bool)
+        other |= bounds[1:] == bounds[:-1]
+        if other.any():
+            back = self.words.decode_batch([found[i] for i in np.flatnonzero(other)], skip_special_tokens=False)
+            told = pc.replace_with_mask(told, pa.array(other), pa.array(back, pa.string()))
+        right = np.ones(len(words), bool)
         if reference is not None:
-            # Every word begins with the marker, the first of which sentencepiece puts there itself.
-            theirs = reference.encode([w[1:].replace(MARK, " ") for w in words])
-            self.apart |= {w for w, own, ids in zip(words, found, theirs) if (list(own) != ids or w[0] != MARK) and w != MARK}
+            lead = reference.encode(self.lead)
+            theirs = reference.encode([self.lead + w.replace(MARK, " ") for w in words], num_threads=1)
+            right = np.array([their == lead + own for their, own in zip(theirs, found)])
+        self.known.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.ids = pa.concat_arrays([self.ids, ids])
+        self.told = pa.concat_arrays([self.told, told])
+        self.right = np.concatenate([self.right, right])
+
+    def _joined(self, told: pa.StringArray, bounds: np.ndarray) -> list[str]:
+        texts = _joined_texts(told, bounds)
+        return [t[1:] if t.startswith(" ") else t for t in texts] if self.prefix else texts
+
 
-    def _joined(self, words: list[str]) -> str:
-        text = "".join(map(self.told.__getitem__, words))
-        return text[1:] if self.prefix and text.startswith(" ") else text
+def _joined_texts(parts: pa.StringArray, bounds: np.ndarray) -> list[str]:
+    """Strings next to each other as one, from each bound to the next."""
+    if not len(parts):
+        return [""] * (len(bounds) - 1)
+    offsets = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, 4 * parts.offset)[bounds]
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.copy()), parts.buffers()[2]).to_numpy(zero_copy_only=False).tolist()
 
 
 def encode(
@@ -252,12 +330,13 @@ def encode(
         reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in slices(batches, "text", SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, back, parity = codec.encode(texts, reference)
+            ids, back, parity = codec.columns(texts, reference)
+            n_bytes = np.r_[0, np.cumsum(is_byte[ids.values.to_numpy()])][ids.offsets.to_numpy()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([np.array(i, np.int32) for i in ids], pa.list_(pa.int32())),
-                    pa.array([int(is_byte[i].sum()) if i else 0 for i in ids], pa.int64()),
+                    ids,
+                    pa.array(np.diff(n_bytes), pa.int64()),
                     pa.array([a == b for a, b in zip(texts, back)]),
                     pa.array(parity),
                 ],
