@@ -112,3 +112,11 @@ def test_charsets_and_repeated_rows(spark):
     assert [found[i, "conversion"] for i in range(3)] == ["café €", "é", "\ufffd"]
     pages = spark.createDataFrame([(1, "u", PAGE)] * 3, "page_id bigint, url string, html string")
     assert warc.derive(warc.responses(pages)).count() == 6
+
+
+def test_each_step_of_the_text_is_in_the_plan_once(spark):
+    pages = spark.createDataFrame([(1, "u", "a \t\n <p> b</p>\r\n\r\n c  d <br>\x0b e")], "page_id bigint, url string, html string")
+    texts = pages.select(warc.page_text(pages["html"]).alias("text"))
+    assert texts.first().text == "a\nb\nc d\ne"
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<script") + plan.count("script\\b") <= 2
