@@ -110,3 +110,15 @@ def test_tokens_and_tree_rates():
     assert abs(np.mean(common) / chosen_path.TOKENS - 0.8) < 0.01
     assert min(common) >= chosen_path.RESEMBLING
     assert abs(np.mean(met) - (1 - np.exp(-1.1))) < 0.03
+
+
+def test_small_nodes_of_all_levels_are_compared_together(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "LEAF", 3)
+    calls, levels, close, large = [], [], chosen_path._close, chosen_path._large_links
+    monkeypatch.setattr(chosen_path, "_close", lambda *a: calls.append(1) or close(*a))
+    monkeypatch.setattr(chosen_path, "_large_links", lambda *a: levels.append(1) or large(*a))
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    docs = [(i, " ".join(common + [f"w{rng.random()}" for _ in range(6)])) for i in range(8)] + [(9, " ".join(common))]
+    assert components(spark, docs) == plain_components(docs)
+    assert len(levels) > 0 and len(calls) == 2

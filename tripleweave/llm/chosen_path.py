@@ -390,9 +390,8 @@ def links(signatures: DataFrame, members: DataFrame, fetch: Callable[[DataFrame]
     found, new = None, []
     for turn in (0, 1):
         mine = F.col("key").bitwiseAND(F.lit(1).cast("long")) == turn
-        now = near.filter(mine) if found is None else _open(_rooted(near.filter(mine), found)).drop("n", "low")
-        new.append(_close(now, whole))
-        now, level = large.filter(mine), 0
+        leaves = near.filter(mine) if found is None else _open(_rooted(near.filter(mine), found)).drop("n", "low")
+        now, level, lesser = large.filter(mine), 0, []
         if found is not None:
             now = _open(_rooted(now, found))
         while not (big := now.filter(F.col("n") > LEAF)).isEmpty():
@@ -400,9 +399,12 @@ def links(signatures: DataFrame, members: DataFrame, fetch: Callable[[DataFrame]
             new.append(by_leaders)
             now, level = _open(on), level + 1
             discard(on, collect=True)
-            some = _near(now.filter(F.col("n") <= LEAF), short)
-            new.append(_close(some, sets.of(some)))
-            discard(some)
+            lesser.append(now.filter(F.col("n") <= LEAF))
+        # Small nodes tell later levels nothing: those of all levels are compared together.
+        if lesser:
+            more = _near(reduce(DataFrame.unionByName, lesser), short)
+            leaves, whole = leaves.unionByName(more), sets.of(more)
+        new.append(_close(leaves, whole))
         if found is None:
             found = _towards_roots(new)
     out = cut(components(reduce(DataFrame.unionByName, new)).toDF("rep", "root"))
