@@ -1,11 +1,14 @@
 """What Spark is asked to do: pruned scans, no products, split hot keys."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from tripleweave.operators import graph, inference, nodes, scans, stats
+from tripleweave.operators import graph, inference, match, nodes, scans, stats
 from tripleweave.operators.match import match_bgp, natural_join
 from tripleweave.plans.workload import WORKLOAD
+from tripleweave.session import cut
 from tripleweave.sources import store, tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -198,3 +201,30 @@ def test_no_round_of_levels_shuffles_the_edges(spark, shuffled, hot):
     assert not any("Exchange" in line for line in ways_side)
     assert (salts is None) == (hot > 1)
     spark.sql(f"DROP TABLE {table}")
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    """They are deleted when the write ends, not when the driver next collects its garbage."""
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {name for i in range(found.length()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    kept = cut(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 10
+
+
+def test_a_closing_step_keeps_the_shuffles_of_one_join_only(triples, small_broadcasts, monkeypatch):
+    """What is found is written before it is checked, and what earlier patterns gave before both."""
+    for name, written in (("w9", 1), ("w2", 2)):
+        made = []
+        monkeypatch.setattr(match, "cut", lambda df: made.append(cut(df)) or made[-1])
+        found = match_bgp(triples, WORKLOAD[name])
+        assert len(made) == written
+        assert found.count() == 22649
